@@ -18,7 +18,7 @@ _words = re.compile(r"\w+")
 #: Words of a passage of the term statistics and of the decomposition.
 PASSAGE = 64
 #: Latent dimensions, and more of them that the randomised decomposition carries.
-RANK, MORE, POWER_STEPS, SEED = 48, 16, 1, 7
+RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 48, 16, 1, 24, 7
 #: Least cosine of a candidate; least share of an item's words, and of its answer's, in common order.
 COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
 #: Benchmark items that are searched at once; with it, what is broadcast is bounded. More items are further blocks.
@@ -140,11 +140,12 @@ def gram_times(ids: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def latent_terms(ids: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
-    """A vector for each term: idf times its row of the leading right singular vectors of all passages.
+    """A vector for each term, so that sums over a text are latent vectors: idf times its row of the leading right
+    singular vectors of all passages, and of the residual's projection.
 
     Randomised SVD: a random start is multiplied by A' A (one pass over the documents each time) and made orthonormal;
-    the small matrix Q' A' A Q gives the directions within. Terms that no passage holds keep a random direction of
-    their own, so that items of unseen words still compare.
+    the small matrix Q' A' A Q gives the directions within. What these leave out - above all the words of items that
+    few passages hold, whose directions are too weak to lead - is kept by a random projection in RESIDUAL dimensions.
     """
     df, passages = document_frequencies(ids, n)
     idf = np.log((passages + 1) / (df + 1)) + 0.05
@@ -156,7 +157,9 @@ def latent_terms(ids: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
         basis = q
         q = np.linalg.qr(z + 1e-9 * q)[0]
     _, u = np.linalg.eigh((small + small.T) / 2)
-    return (idf[:, None] * (basis @ u[:, ::-1][:, :rank])).astype(np.float32)
+    lead = basis @ u[:, ::-1][:, :rank]
+    rest = np.random.default_rng(SEED + 1).standard_normal((n, RESIDUAL)) / np.sqrt(RESIDUAL)
+    return (idf[:, None] * np.c_[lead, rest - lead @ (lead.T @ rest)]).astype(np.float32)
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -185,11 +188,12 @@ def find(ids: np.ndarray, items: Items, terms: np.ndarray, targets: np.ndarray)
     counts = np.r_[0, np.cumsum(known)]
     for size in np.unique(items.sizes):
         own, step = np.flatnonzero(items.sizes == size), max(2, int(size) // 4)
+        least = max(1, int(COMMON * min(len(items.terms[i]) for i in own) / 2))
         starts = np.arange(0, max(1, len(ids) - int(size) + step), step)
         for k in range(0, len(starts), 8_192):
             s = starts[k : k + 8_192]
             e = np.minimum(s + size, len(ids))
-            some = counts[e] - counts[s] >= 3
+            some = counts[e] - counts[s] >= least
             s, e = s[some], e[some]
             z = (run[e] - run[s]).astype(np.float32)
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)

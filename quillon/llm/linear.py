@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most: those whose ids hash lowest. Everything else reads all rows.
 MAX_TRAIN = 12_000
-#: Words of one model.
-MAX_WORDS = 256
+#: Words of one model, and the chi-square that each must reach (by chance: one word in a thousand).
+MAX_WORDS, LEAST_CHI2 = 256, 10.83
 FOLDS = 5
 _words, _upper, _marks = re.compile(r"\w+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\w\s]+")
 
@@ -120,7 +120,8 @@ def fit(words: list, form: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Mo
         if a >= 3 and p and n - p:
             b = yes[h]
             d = b * n - a * p
-            rank.append((d * d / (a * (n - a) * p * (n - p)) if a < n else 0.0, h))  # chi-square / n
+            if a < n and (chi2 := n * d * d / (a * (n - a) * p * (n - p))) >= LEAST_CHI2:
+                rank.append((chi2, h))
     model = Model({h: j for j, (_, h) in enumerate(sorted(rank, key=lambda x: (-x[0], x[1]))[:MAX_WORDS])})
     model.mean, model.scale = (form.mean(0), form.std(0) + 1e-9) if n else (np.zeros(N_FORM), np.ones(N_FORM))
     model.weights = fit_logistic(model.matrix(words, form, earlier), y.astype(float))

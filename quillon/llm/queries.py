@@ -61,5 +61,48 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_near_dup, op4_top_k, op5_quality, op6_decontamination, op7_secrets, op8_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back
+
+    planted = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_chats(turns.unionByName(planted)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_near_dup, op4_top_k, op5_quality, op6_decontamination, op7_secrets, op8_toxicity, op9_line_dedup, op10_chat)}
+_ESCAPED = "{}"
+for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}' || chr(92) || '{_c[1:]}')"
+_ESCAPED = _ESCAPED.format("replace(coalesce({}, ''), chr(92), chr(92) || chr(92))")
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": r"""
+WITH split AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM split
+), shared AS (
+    SELECT k, min(doc_id) AS first_id FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) <> max(doc_id)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first_id <> doc_id) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first_id IS NULL OR first_id = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id
+""",
+    "op10_chat": f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+    CAST(sum(length('<|turn|><|end|>') + 2 + length({_ESCAPED.format("text")}) + length(replace({_ESCAPED.format("role")}, chr(10), chr(92) || chr(10)))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+""",
+}
