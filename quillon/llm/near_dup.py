@@ -18,8 +18,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND = 24, 3
 SKETCHES = BANDS * BAND
 #: Sketches of SKETCHES that a pair must share to be aligned where a bucket is compared beyond its leader: of 46
-#: expected at a similarity of 0.8, so a pair falls below with a chance of less than 1e-7.
-AGREE = 24
+#: expected at a similarity of 0.8, with a deviation of 4, so a pair falls below with a chance of about 1e-5.
+AGREE = 28
+#: Shingles that a text is compared by where a bucket is compared beyond its leader: all, and from twice SAMPLE on those
+#: whose hashes fall under a power of 1/2 that leaves SAMPLE to 2 * SAMPLE. Then the similarity is estimated, with a
+#: deviation of at most 0.0125, so MARGIN is seven deviations.
+SAMPLE, MARGIN = 1024, 0.09
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,16 +111,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        levels, samples = [], []
+        for t in batch.column(1):
+            h = mix(labelled(shingles(t.as_py(), WORDS)) + np.uint64(1)) >> np.uint64(2)
+            levels.append(max(0, (len(h) // SAMPLE).bit_length() - 1))
+            samples.append(h[h < np.uint64(2**62 >> levels[-1])].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.array(samples, pa.list_(pa.int64()))], ["node", "level", "sample"])
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
     """(doc_id, class_id, is_kept) of every row of docs: texts linked by an ordered five-word similarity of 0.8 or more,
     directly or by way of others, are one class, named by its smallest doc_id; is_kept marks that document.
 
     1. Equal texts become one node at once (grouped by digest), so copies cost nothing further.
     2. Nodes meet in the buckets of their bands. A bucket's leader is the node whose buckets are the fullest in all -
        among copies of one text with small edits, the text itself. Every other member is aligned with the leader.
-    3. Members that the leader's class did not take are compared with the members of other classes in the bucket
-       whose sketches agree; nothing is capped, and a bucket that its leader resolved makes no pairs at all.
-    4. Verified links become classes by alternating stars.
+    3. Members that the leader's class did not take are compared with the members of other classes in their buckets, by
+       sketches and then by samples of labelled shingles - whole ones for texts of up to 2,047 - within the join, which
+       reports only those that have the similarity. Nothing is capped, and a bucket that its leader resolved makes no
+       comparisons at all.
+    4. Those are aligned too. Verified links become classes by alternating stars.
 
     Null texts are no one's copies: each row is a class of its own. Texts without words are only linked to equal texts;
     texts of 1 to 4 words are one shingle. Ties go to the smaller id. Repeated rows share a class; all rows of the
@@ -132,36 +148,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     central = buckets.groupBy("node").agg(F.sum("members").alias("central"))
     leaders = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "n", "node")).alias("x")).select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"))
     buckets = staged(buckets.join(leaders, "band"), "led")
-    near = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n") - 1e-9
-    first = staged(buckets.where(near & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    near_leader = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n") - 1e-9
+    first = staged(buckets.where(near_leader & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     texts = staged(
         rows.join(buckets.select("node", "doc_id").distinct(), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "text"), "texts",
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def tested(pairs: DataFrame) -> DataFrame:
         a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
+        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "tested")
 
-    links = verified(first)
-    at = components(links)
-    of = buckets.join(at, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = tested(first)
+    of = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = of.where("node = leader").select("band", F.col("root").alias("lead_root"))
-    of = staged(of.join(lead, "band"), "members")
-    rest = of.where("root <> lead_root")
-    sketches = made.where("node is not null").select("node", "sketch")
-    open_ = of.join(rest.select("band").distinct(), "band", "left_semi")
-    wanted = staged(sketches.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "open")
-    side = lambda d, x: d.join(wanted, "node").select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "sketch", "leader", "lead_root")))
+    of = of.join(lead, "band").withColumn("is_rest", F.col("root") != F.col("lead_root"))
+    of = staged(of.join(of.where("is_rest").select("band").distinct(), "band", "left_semi"), "open")
+    some = of.select("node").distinct()
+    samples = texts.join(some, "node", "left_semi").mapInArrow(_samples, "node binary, level int, sample array<long>")
+    sketches = made.where("node is not null").select("node", "sketch").join(some, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    wanted = staged(sketches.join(samples, "node"), "wanted")
+    side = lambda d, x: d.join(wanted, "node").select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "leader", "is_rest", "sketch", "level", "sample")))
     agree = F.size(F.filter(F.zip_with("sketch_x", "sketch_y", lambda p, q: p == q), lambda p: p))
+    level = F.greatest("level_x", "level_y")
+    own = lambda x: F.when(F.col(f"level_{x}") == level, F.col(f"sample_{x}")).otherwise(F.filter(f"sample_{x}", lambda h: h < F.call_function("shiftright", F.lit(2**62), level)))
+    both, all_ = F.size(F.array_intersect(own("x"), own("y"))), F.size(own("x")) + F.size(own("y"))
+    similar = both >= F.when(level == 0, SIMILARITY - 1e-9).otherwise(SIMILARITY - MARGIN) * (all_ - both)
     apart = (
-        (F.col("root_x") != F.col("root_y")) & (F.col("node_y") != F.col("leader_y")) & ((F.col("root_y") == F.col("lead_root_y")) | (F.col("node_x") < F.col("node_y")))
-        & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y") - 1e-9) & (agree >= AGREE)
+        (F.col("root_x") != F.col("root_y")) & (F.col("node_y") != F.col("leader_y")) & (~F.col("is_rest_y") | (F.col("node_x") < F.col("node_y")))
+        & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y") - 1e-9) & (agree >= AGREE) & similar
     )
-    x, y = side(rest, "x"), side(open_, "y")
+    x, y = side(of.where("is_rest"), "x"), side(of, "y")
     second = staged(x.join(y, (x["band"] == y["band"]) & apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs")
-    classes = components(links.union(verified(second)))
+    classes = components(links.union(tested(second)))
     named = classes.join(nodes.select("node", "doc_id"), "node")
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = named.join(names, "root").select("node", "class_id").unionByName(nodes.join(classes, "node", "left_anti").select("node", F.col("doc_id").alias("class_id")))
-    out = made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["node"] * with_node)
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but for documents whose class keeps a smaller id. Cases as in near_duplicates().
+
+    Of rows that repeat id and text one stays; rows of the kept id with other texts that link to it go with it.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, with_node=True)
+    kept = found.where("is_kept and node is not null").select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")).dropDuplicates(["_kept_id"])
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    own = row.select("row", F.col("row")[id_col].alias("_id"), F.unhex(F.md5(F.col("row")[text_col].cast("binary"))).alias("_node"))
+    some = own.where("_node is not null").join(kept, (F.col("_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_node") == F.col("_kept_node")), "left_semi")
+    return some.dropDuplicates(["_id"]).select("row.*").unionByName(own.where("_node is null").select("row.*"))
