@@ -66,7 +66,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
         for s in range(SEGMENTS):
             d = F.bit_count(segment("code", s).bitwiseXOR(segment("asked", s)))
             first = first & F.when(F.col("p.seg") > s, d > radius).when(F.col("p.seg") < s, d >= radius).otherwise(True)
-        p, x = probes.alias("p"), listed.alias("x")
+        # Merged, not broadcast: the size of exploded masks is unknown to the planner.
+        p, x = probes.hint("merge").alias("p"), listed.alias("x")
         met = p.join(x, (F.col("p.seg") == F.col("x.seg")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("bound")) & first)
         met = met.select("query_id", "asked", apart.alias("distance"), "ids")
         kept = met if kept is None else kept.unionByName(met)
