@@ -18,7 +18,7 @@ _words = re.compile(r"\w+")
 #: Words of a passage of the term statistics and of the decomposition.
 PASSAGE = 64
 #: Latent dimensions, and more of them that the randomised decomposition carries.
-RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 48, 16, 1, 24, 7
+RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
 #: Least cosine of a candidate; least share of an item's words, and of its answer's, in common order.
 COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
 #: Benchmark items that are searched at once; with it, what is broadcast is bounded. More items are further blocks.
@@ -36,6 +36,8 @@ class Items:
     answers: list[np.ndarray]
     ids: list
     sizes: np.ndarray  # the window size of each part
+    places: list[dict[int, int]]
+    answer_places: list[dict[int, int]]
 
 
 def words(text: str | None) -> list[str]:
@@ -66,7 +68,7 @@ def items_of(rows: list[tuple]) -> Items:
             terms.append(number(part))
             answers.append(number(last))
             ids.append(i)
-    return Items(vocabulary, terms, answers, ids, np.array([window_size(len(t)) for t in terms], int))
+    return Items(vocabulary, terms, answers, ids, np.array([window_size(len(t)) for t in terms], int), [places_of(t) for t in terms], [places_of(t) for t in answers])
 
 
 def numbered(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
@@ -110,29 +112,33 @@ def document_frequencies(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def gram_times(ids: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A' A q for the matrix A of all TF-IDF passages, by unit length, in one pass over the documents."""
+    """A' A q for the matrix A of all TF-IDF passages, in one pass over the documents; passages have equal numbers of words."""
     n, width = q.shape
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, weighted = np.zeros((n, width)), idf[:, None] * q
+        out, weighted = np.zeros((n, width)), (idf[:, None] * q).astype(np.float32)
+
+        def add(passage: np.ndarray, t: np.ndarray) -> None:
+            start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+            y = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(passage)]))
+            sums, order = np.add.reduceat(weighted[t], start), np.argsort(t.astype(np.int16) if n < 2**15 else t, kind="stable")
+            first = np.flatnonzero(np.r_[True, t[order][1:] != t[order][:-1]])
+            out[t[order][first]] += np.add.reduceat(sums[y[order]], first)
+
         for b in batches:
-            rows, base = [], 0
+            passages, found, base, held = [], [], 0, 0
             for x in b.column(0):
                 p, t = _passages(np.frombuffer(x.as_buffer(), np.int32))
                 if len(t):
-                    rows.append(np.c_[p + base, t])
-                    base += int(p[-1]) + 1
-            for part in np.array_split(np.concatenate(rows), max(1, sum(map(len, rows)) // 200_000)) if rows else []:
-                cell, tf = np.unique(part[:, 0] * n + part[:, 1], return_counts=True)
-                p, t = cell // n, cell % n
-                start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                each = np.diff(np.r_[start, len(p)])
-                norm = np.repeat(np.add.reduceat((tf * idf[t]) ** 2, start), each)
-                y = np.add.reduceat(tf[:, None] * weighted[t], start)
-                z = np.repeat(y, each, 0) * (tf * idf[t] / np.maximum(norm, 1e-12))[:, None]
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.r_[True, t[order][1:] != t[order][:-1]])
-                out[t[order][first]] += np.add.reduceat(z[order], first)
+                    passages.append(p + base)
+                    found.append(t)
+                    base, held = base + int(p[-1]) + 1, held + len(t)
+                if held > 5_000:  # what stays in a cache
+                    add(np.concatenate(passages), np.concatenate(found))
+                    passages, found, base, held = [], [], 0, 0
+            if held:
+                add(np.concatenate(passages), np.concatenate(found))
+        out *= idf[:, None]
         at = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out[at].tolist(), pa.list_(pa.float64()))], ["term", "v"])
 
@@ -162,56 +168,99 @@ def latent_terms(ids: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
     return (idf[:, None] * np.c_[lead, rest - lead @ (lead.T @ rest)]).astype(np.float32)
 
 
-def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the longest common subsequence, by bits of one integer."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """Of each term the bits of its places."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b.tolist():
+    return masks
+
+
+def common_length(masks: dict[int, int], n: int, b: list[int]) -> int:
+    """The length of the longest common subsequence of b and the n terms whose places are given, by bits of one integer."""
+    v = full = (1 << n) - 1
+    for y in b:
         if m := masks.get(y):
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
-def find(ids: np.ndarray, items: Items, terms: np.ndarray, targets: np.ndarray) -> dict:
-    """Of each item found in a text: (common share, cosine, first word, last word) of its best place."""
-    out: dict = {}
-    if not len(ids) or not len(items.ids):
-        return out
-    run = np.zeros((len(ids) + 1, terms.shape[1]), np.float64)
-    known = ids >= 0
-    run[1:][known] = terms[ids[known]]
-    np.cumsum(run, axis=0, out=run)
-    counts = np.r_[0, np.cumsum(known)]
+    return n - v.bit_count()
+
+
+#: Words of texts, and windows, that are searched in one go.
+TOGETHER, WINDOWS = 8_000, 4_096
+
+
+def find(texts: list[np.ndarray], items: Items, terms: np.ndarray, targets: np.ndarray) -> list[dict]:
+    """For each numbered text, of each item found: (common share, cosine, first word, last word) of its best place.
+
+    Latent vectors of windows are differences of running sums over blocks of words; no window reaches over the end of a
+    text. Of neighbouring windows the one with the largest cosine is verified, over a place of twice its size.
+    """
+    out: list[dict] = [{} for _ in texts]
+    known = np.r_[terms, np.zeros((1, terms.shape[1]), np.float32)]  # -1, of unknown words, is the last
+    k = 0
+    while k < len(texts) and len(items.ids):
+        end, held = k, 0
+        while end < len(texts) and (end == k or held + len(texts[end]) <= TOGETHER):
+            held += len(texts[end])
+            end += 1
+        _find(texts[k:end], out[k:end], items, known, targets)
+        k = end
+    return out
+
+
+def _find(texts: list[np.ndarray], out: list[dict], items: Items, known: np.ndarray, targets: np.ndarray) -> None:
+    block = max(2, int(items.sizes.min()) // 4)
+    n = np.array([-(-len(t) // block) for t in texts])
+    base = np.r_[0, np.cumsum(n)]
+    total = int(base[-1])
+    flat = np.full(total * block, -1, np.int32)
+    for t, b in zip(texts, base.tolist(), strict=False):
+        flat[b * block : b * block + len(t)] = t
+    if not total:
+        return
+    doc = np.repeat(np.arange(len(texts)), n)
+    first, last, index = base[doc], base[doc + 1], np.arange(total)
+    sums = known[flat[::block]]
+    for j in range(1, block):
+        sums += known[flat[j::block]]
+    run = np.zeros((total + 1, known.shape[1]))
+    np.cumsum(sums, axis=0, out=run[1:])
     for size in np.unique(items.sizes):
-        own, step = np.flatnonzero(items.sizes == size), max(2, int(size) // 4)
-        least = max(1, int(COMMON * min(len(items.terms[i]) for i in own) / 2))
-        starts = np.arange(0, max(1, len(ids) - int(size) + step), step)
-        for k in range(0, len(starts), 8_192):
-            s = starts[k : k + 8_192]
-            e = np.minimum(s + size, len(ids))
-            some = counts[e] - counts[s] >= least
-            s, e = s[some], e[some]
-            z = (run[e] - run[s]).astype(np.float32)
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            cos = z @ targets[own].T
-            for w, i in zip(*np.nonzero(cos >= COSINE), strict=True):
-                item = own[i]
-                a, best = items.terms[item], out.get(items.ids[item])
-                lo, hi = max(0, s[w] - size // 2), min(len(ids), e[w] + size // 2)
-                place = ids[lo:hi]
-                if best and best[0] >= 1:
-                    continue
-                share = common_length(a, place[place >= 0]) / len(a)
-                if share < COMMON or best and best[0] >= share:
+        own, wide = np.flatnonzero(items.sizes == size), max(1, int(size) // block)
+        stride = max(1, wide // 4)
+        windows = np.flatnonzero(((index - first) % stride == 0) & ((index == first) | (index + wide < last + stride)))
+        aims = targets[own].T
+        for k in range(0, len(windows), WINDOWS):
+            lo = max(0, k - 1)
+            s = windows[lo : k + WINDOWS + 1]  # one more on either side, to see where the maxima are
+            z = (run[np.minimum(s + wide, last[s])] - run[s]).astype(np.float32)
+            z /= np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
+            cos = z @ aims
+            if cos.max() < COSINE:
+                continue
+            near = (doc[s[1:]] == doc[s[:-1]])[:, None]
+            hit = cos >= COSINE
+            hit[1:] &= ~near | (cos[1:] >= cos[:-1])
+            hit[:-1] &= ~near | (cos[:-1] > cos[1:])
+            for w, i in zip(*np.nonzero(hit), strict=True):
+                if not k <= lo + w < k + WINDOWS:
                     continue
-                answer = items.answers[item]
-                if not len(answer) or common_length(answer, place[place >= 0]) >= ANSWER * len(answer):
-                    out[items.ids[item]] = (share, float(cos[w, i]), int(lo), int(hi))
-    return out
+                _verify(out[doc[s[w]]], items, int(own[i]), float(cos[w, i]), texts[doc[s[w]]], int(s[w] - first[s[w]]) * block, wide * block, int(size))
+
+
+def _verify(found: dict, items: Items, item: int, cosine: float, text: np.ndarray, at: int, wide: int, size: int) -> None:
+    best = found.get(items.ids[item])
+    if best and best[0] >= 1:
+        return
+    lo, hi = max(0, at - size // 2), min(len(text), at + wide + size // 2)
+    place = text[lo:hi].tolist()
+    share = common_length(items.places[item], len(items.terms[item]), place) / len(items.terms[item])
+    if share < COMMON or best and best[0] >= share:
+        return
+    answer = items.answers[item]
+    if not len(answer) or common_length(items.answer_places[item], len(answer), place) >= ANSWER * len(answer):
+        found[items.ids[item]] = (share, cosine, lo, hi)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> Iterator[Items]:
@@ -228,36 +277,36 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str |
         yield items_of([tuple(r) for r in block])
 
 
-def searches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> Iterator:
-    """For each block of items, a function from a text column to its hits: array<struct<item_id, common, cosine, first, last>>."""
+def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> Iterator:
+    """For each block of items (ids, hits): a table of doc_id and numbered text, with the ids of id_col, and a function
+    from a column, of texts or of numbered texts, to its hits: array<struct<item_id, common, cosine, first, last>>."""
     kind = benchmark.schema[item_id].dataType.simpleString()
     for items in _blocks(benchmark, item_id, item_text, answer_col):
         vocabulary = items.vocabulary
 
         def number(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([numbered(t.as_py(), vocabulary).tobytes() for t in b.column(0)], pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([numbered(t.as_py(), vocabulary).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
 
         if not vocabulary:
             continue
-        ids = staged(docs.select(F.col(text_col).alias("text")).mapInArrow(number, "ids binary"), "terms")
-        terms = latent_terms(ids, len(vocabulary))
+        named = docs.select((F.col(id_col) if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+        ids = staged(named.mapInArrow(number, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, ids binary"), "terms")
+        terms = latent_terms(ids.select("ids"), len(vocabulary))
         targets = np.array([terms[t].sum(0) for t in items.terms], np.float32)
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
 
-        def hits(text: Column, items=items, terms=terms, targets=targets) -> Column:
+        def hits(text: Column, is_numbered: bool = False, items=items, terms=terms, targets=targets) -> Column:
             @F.pandas_udf(f"array<struct<item_id: {kind}, common: double, cosine: double, first: int, last: int>>")
             def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 for texts in batches:
-                    out = []
-                    for t in texts:
-                        got = find(numbered(t, items.vocabulary), items, terms, targets)
-                        out.append([{"item_id": i, "common": c, "cosine": x, "first": a, "last": z} for i, (c, x, a, z) in sorted(got.items())])
+                    got = find([np.frombuffer(t, np.int32) if is_numbered else numbered(t, items.vocabulary) for t in texts], items, terms, targets)
+                    out = [[{"item_id": i, "common": c, "cosine": x, "first": a, "last": z} for i, (c, x, a, z) in sorted(g.items())] for g in got]
                     yield pd.Series(out, dtype=object)
 
             return found(text)
 
-        yield hits
+        yield ids, hits
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
@@ -271,10 +320,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     nothing; an empty table gives no rows. Other columns are ignored. Any number of items is searched, in blocks.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [h(F.col("text")) for h in searches(docs, benchmark, text_col=text_col, **names)]
+    parts = list(searches(docs, benchmark, id_col=id_col, text_col=text_col, **names))
     if not parts:
         return own.select("doc_id", F.lit(0).alias("contaminated"), F.lit(0).alias("n_items"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("common"), F.lit(0.0).alias("cosine"), F.array().cast("array<struct<item_id: long, common: double, cosine: double, first: int, last: int>>").alias("hits"))
-    out = own.select("doc_id", (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("hits"))
+    if len(parts) == 1:
+        out = parts[0][0].select("doc_id", parts[0][1](F.col("ids"), True).alias("hits"))
+    else:
+        out = own.select("doc_id", F.concat(*(h(F.col("text")) for _, h in parts)).alias("hits"))
     top = lambda c: F.coalesce(F.array_max(F.transform("hits", lambda h: h[c])), F.lit(0.0))
     return out.select("doc_id", (F.size("hits") > 0).cast("int").alias("contaminated"), F.size("hits").alias("n_items"), F.col("hits.item_id").alias("item_ids"), top("common").alias("common"), top("cosine").alias("cosine"), "hits")
 
@@ -282,6 +334,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **names) -> DataFrame:
     """The rows of docs, with all their columns, in which no item of the benchmark is found."""
     out = docs
-    for h in searches(docs, benchmark, text_col=text_col, **names):
+    for _, h in searches(docs, benchmark, text_col=text_col, **names):
         out = out.where(F.size(h(docs[f"`{text_col}`"])) == 0)
     return out
