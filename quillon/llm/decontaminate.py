@@ -20,7 +20,7 @@ PASSAGE = 64
 #: Latent dimensions, and more of them that the randomised decomposition carries.
 RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
 #: Least cosine of a candidate; least share of an item's words, and of its answer's, in common order.
-COSINE, COMMON, ANSWER = 0.55, 0.6, 0.5
+COSINE, COMMON, ANSWER = 0.5, 0.6, 0.5
 #: Benchmark items that are searched at once; with it, what is broadcast is bounded. More items are further blocks.
 BLOCK = 2_000
 #: Words of an item beyond which it is split, so that a long item is found by its parts.
@@ -194,7 +194,7 @@ def find(texts: list[np.ndarray], items: Items, terms: np.ndarray, targets: np.n
     """For each numbered text, of each item found: (common share, cosine, first word, last word) of its best place.
 
     Latent vectors of windows are differences of running sums over blocks of words; no window reaches over the end of a
-    text. Of neighbouring windows the one with the largest cosine is verified, over a place of twice its size.
+    text. Of neighbouring windows the one with the largest cosine is verified, over a place of three times its size: an item has at most one and a half.
     """
     out: list[dict] = [{} for _ in texts]
     known = np.r_[terms, np.zeros((1, terms.shape[1]), np.float32)]  # -1, of unknown words, is the last
@@ -253,7 +253,7 @@ def _verify(found: dict, items: Items, item: int, cosine: float, text: np.ndarra
     best = found.get(items.ids[item])
     if best and best[0] >= 1:
         return
-    lo, hi = max(0, at - size // 2), min(len(text), at + wide + size // 2)
+    lo, hi = max(0, at - size), min(len(text), at + wide + size)
     place = text[lo:hi].tolist()
     share = common_length(items.places[item], len(items.terms[item]), place) / len(items.terms[item])
     if share < COMMON or best and best[0] >= share:
