@@ -90,7 +90,7 @@ def test_queries(e, sql, want):
         ("SELECT id FROM people UNION SELECT id, name FROM people", 205), ("SELECT (SELECT id, name FROM people)", 116), ("SELECT TOP 1 WITH TIES id FROM people", 1062), ("SELECT SUM(COUNT(*)) FROM people", 130), ("SELECT COUNT(*) FROM people GROUP BY 1", 164),
         ("SELECT SUM(name) FROM people", 8117), ("SELECT CASE WHEN 1 = 1 THEN NULL END", 8133), ("SELECT COALESCE(NULL, NULL)", 4127), ("SELECT @x", 137), ("SELECT DATEPART(nope, '2024-01-01')", 155), ("SELECT CONVERT(varchar, GETDATE(), 99)", 281),
         ("SELECT * FROM (VALUES (1, 2), (3)) v(a, b)", 10709), ("SELECT * FROM (VALUES (1, 2)) v(a)", 8158), ("SELECT * FROM (SELECT 1) d", 8155), ("SELECT id FROM people GROUP BY ROLLUP(id)", 50000), ("WITH r AS (SELECT 1 AS n UNION ALL SELECT n FROM r) SELECT * FROM r", 50000),
-        ("SELECT x.* FROM people", 107), ("SELECT CAST(1 AS nope)", 243), ("SELECT NOPE(1)", 195), ("SELECT SUBSTRING(12, 1, 1)", 8116),
+        ("SELECT x.* FROM people", 107), ("SELECT p.nope FROM people p", 207), ("SELECT id FROM @t", 1087), ("SELECT id FROM people GROUP BY id HAVING COUNT(*) OVER () = 1", 4108), ("SELECT CAST(1 AS nope)", 243), ("SELECT NOPE(1)", 195), ("SELECT SUBSTRING(12, 1, 1)", 8116),
     ],
 )
 def test_refused(e, sql, number):
@@ -125,6 +125,7 @@ def test_fails_when_run(e, sql, number):
         ("CREATE TABLE #e (a int); INSERT #e EXEC('SELECT 7'); TRUNCATE TABLE #e; INSERT #e EXEC('SELECT 8'); SELECT a FROM #e", [[(8,)]]),
         ("IF EXISTS (SELECT 1 FROM people WHERE id = 99) SELECT 'y' ELSE SELECT 'n'", [[("n",)]]),
         ("EXEC sp_databases", [[("master", 0, None)]]),
+        ("CREATE TABLE #p (a int); INSERT #p VALUES (1), (9); UPDATE #p SET a += 5 WHERE a IN (SELECT id FROM people); SELECT a FROM #p ORDER BY a", [[(6,), (9,)]]),
     ],
 )
 def test_batches(e, sql, want):
