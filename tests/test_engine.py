@@ -175,3 +175,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.d for r in spark.sql("SELECT * FROM quillon_out").collect()) == [2, 4]
+
+
+def test_text_groups_hash_first(e, spark, sf):
+    e.register("lines", spark.read.parquet(f"{sf}/lineitem.parquet"))
+    df = e.query("SELECT l_returnflag, COUNT(*) AS n, AVG(l_quantity) AS q, MIN(l_linestatus) AS m FROM lines GROUP BY l_returnflag HAVING COUNT(*) > 1")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[l_returnflag" in plan or "SortAggregate(key=[l_returnflag" in plan  # a text minimum sorts
+    plan = e.query("SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS q FROM lines GROUP BY l_returnflag")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[l_returnflag" in plan
+    assert df.count() == 3
