@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import staged
 
@@ -281,6 +281,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None
     """For each block of items (ids, hits): a table of doc_id and numbered text, with the ids of id_col, and a function
     from a column, of texts or of numbered texts, to its hits: array<struct<item_id, common, cosine, first, last>>."""
     kind = benchmark.schema[item_id].dataType.simpleString()
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     for items in _blocks(benchmark, item_id, item_text, answer_col):
         vocabulary = items.vocabulary
 
@@ -297,12 +298,18 @@ def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
 
         def hits(text: Column, is_numbered: bool = False, items=items, terms=terms, targets=targets) -> Column:
-            @F.pandas_udf(f"array<struct<item_id: {kind}, common: double, cosine: double, first: int, last: int>>")
-            def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            @F.arrow_udf(f"array<struct<item_id: {kind}, common: double, cosine: double, first: int, last: int>>")
+            def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 for texts in batches:
-                    got = find([np.frombuffer(t, np.int32) if is_numbered else numbered(t, items.vocabulary) for t in texts], items, terms, targets)
-                    out = [[{"item_id": i, "common": c, "cosine": x, "first": a, "last": z} for i, (c, x, a, z) in sorted(g.items())] for g in got]
-                    yield pd.Series(out, dtype=object)
+                    numbers = [np.frombuffer(t.as_buffer(), np.int32) if is_numbered else numbered(t.as_py(), items.vocabulary) for t in texts]
+                    ends, flat = [0], []
+                    for g in find(numbers, items, terms, targets):
+                        flat += [(i, *g[i]) for i in sorted(g)]
+                        ends.append(len(flat))
+                    columns = list(zip(*flat, strict=True)) or [()] * 5
+                    kinds = (item_kind, pa.float64(), pa.float64(), pa.int32(), pa.int32())
+                    own = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "common", "cosine", "first", "last"])
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)
 
             return found(text)
 

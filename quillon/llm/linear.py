@@ -108,6 +108,18 @@ class Model:
         return _sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
+def features_of(texts, models: list[Model]) -> tuple[list[list[set[int]]], np.ndarray]:
+    """For each model the words that it knows of each text, and the figures of form; text by text, so little is held."""
+    words: list[list[set[int]]] = [[] for _ in models]
+    form = []
+    for t in texts:
+        w, f = features(t)
+        form.append(f)
+        for own, m in zip(words, models, strict=True):
+            own.append(m.words.keys() & w)
+    return words, np.array(form, float).reshape(-1, N_FORM)
+
+
 def fit(words: list, form: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Model:
     all_, yes = Counter(), Counter()
     for own, v in zip(words, y, strict=True):

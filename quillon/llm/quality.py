@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import MAX_TRAIN, features, fit, sample
+from .linear import MAX_TRAIN, features_of, fit, sample
 from .common import staged
 
 KEEP_AT = 0.5
@@ -72,11 +72,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     rows = sample(docs, labels, [F.col(label_col)], id_col=id_col, text_col=text_col, most=most)
     model = fit(rows.words, rows.form, np.zeros((len(rows.y), 0)), rows.y[:, 0])
 
-    @F.pandas_udf("double")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            got = [features(t) for t in texts]
-            yield pd.Series(model.predict([model.words.keys() & w for w, _ in got], np.array([f for _, f in got]).reshape(len(got), -1), np.zeros((len(got), 0))))
+            (words,), form = features_of((t.as_py() for t in texts), [model])
+            yield pa.array(model.predict(words, form, np.zeros((len(form), 0))), pa.float64())
 
     site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     scored = staged(docs.select(F.col(id_col).alias("doc_id"), site(host_col).alias("host"), site(path_col).alias("path"), evidence(text_col).alias("p")), "evidence")

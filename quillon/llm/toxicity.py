@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import MAX_TRAIN, Model, features, fit, out_of_fold, sample
+from .linear import MAX_TRAIN, Model, features_of, fit, out_of_fold, sample
 
 #: The chain, in order: each later model also sees the earlier probabilities. The labels give two categories.
 CHAIN = {"low_quality": lambda: F.lit(1) - F.col("quality"), "toxic": lambda: F.col("toxic")}
@@ -31,22 +31,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, *, id_col
 
 
 def predict_chain(models: list[Model], texts) -> np.ndarray:
-    """A row for each text, a column for each category."""
-    got = [features(t) for t in texts]
-    words, form = [w for w, _ in got], np.array([f for _, f in got]).reshape(len(got), -1)
-    out = np.zeros((len(got), 0))
-    for m in models:
-        out = np.c_[out, m.predict([m.words.keys() & w for w in words], form, out)]
+    """A row for each text, a column for each category. Of a text's words only those that a model knows are kept."""
+    words, form = features_of(texts, models)
+    out = np.zeros((len(form), 0))
+    for m, own in zip(models, words, strict=True):
+        out = np.c_[out, m.predict(own, form, out)]
     return out
 
 
 def probabilities(models: list[Model], text: Column, chain: dict = CHAIN) -> Column:
     """A struct with the probability of each category, of every whole text. The models have MAX_WORDS words each at most."""
 
-    @F.pandas_udf(", ".join(f"{c} double" for c in chain))
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"{c} double" for c in chain))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame(predict_chain(models, texts), columns=list(chain))
+            p = predict_chain(models, (t.as_py() for t in texts))
+            yield pa.StructArray.from_arrays([pa.array(p[:, i], pa.float64()) for i in range(len(chain))], list(chain))
 
     return scored(text)
 
