@@ -182,19 +182,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = components(links.union(tested(second)))
     named = classes.join(nodes.select("node", "doc_id"), "node")
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(names, "root").select("node", "class_id").unionByName(nodes.join(classes, "node", "left_anti").select("node", F.col("doc_id").alias("class_id")))
-    out = made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["node"] * with_node)
+    alone = nodes.join(classes, "node", "left_anti").select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("root"))
+    named = named.join(names, "root").select("node", "class_id", "root").unionByName(alone)
+    out = made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["node", "root"] * with_node)
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but for documents whose class keeps a smaller id. Cases as in near_duplicates().
+    """The rows of docs, with all their columns, of which each class keeps one: that of its smallest id. Cases as in
+    near_duplicates().
 
-    Of rows that repeat id and text one stays; rows of the kept id with other texts that link to it go with it.
+    Of rows that repeat id and text one stays. Classes are told apart by their texts, so ids that repeat with unlike
+    texts, or are null, lose no class.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, with_node=True)
-    kept = found.where("is_kept and node is not null").select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")).dropDuplicates(["_kept_id"])
+    kept = found.where("is_kept and node is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.node").alias("_kept_node"))
     row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
     own = row.select("row", F.col("row")[id_col].alias("_id"), F.unhex(F.md5(F.col("row")[text_col].cast("binary"))).alias("_node"))
     some = own.where("_node is not null").join(kept, (F.col("_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_node") == F.col("_kept_node")), "left_semi")
-    return some.dropDuplicates(["_id"]).select("row.*").unionByName(own.where("_node is null").select("row.*"))
+    return some.dropDuplicates(["_id", "_node"]).select("row.*").unionByName(own.where("_node is null").select("row.*"))

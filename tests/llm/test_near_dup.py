@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from quillon.llm.common import components, labelled, shingles
-from quillon.llm.near_dup import aligned, bands, near_duplicates, sketch
+from quillon.llm.near_dup import aligned, bands, near_duplicates, representatives, sketch
 
 from .cases import awkward, empty, words
 
@@ -106,3 +106,13 @@ def test_awkward(spark):
     of = {r.doc_id: r.class_id for r in got}
     assert of[1] == 1 and of[8] == 8 and of[6] == 5 and of[4] == 4 and of[2] == 2 and of[3] == 3
     assert near_duplicates(empty(spark)).collect() == []
+
+
+def test_representatives(spark):
+    a, b, c = (" ".join(words(random.Random(i), 80, 9000)) for i in (7, 8, 9))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b), (None, c), (None, c), (None, "another text of no id at all"), (5, a), (5, a), (6, None), (7, None), (0, b + " end"), (8, "one"), (8, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as node", "1 as root")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in representatives(df).collect()))
+    want = [(1, a), (0, b + " end"), (None, c), (None, "another text of no id at all"), (6, None), (7, None), (8, "one")]
+    assert got == sorted((i is None, i or 0, t or "") for i, t in want)
+    assert representatives(df).columns == df.columns and representatives(df.limit(0)).collect() == []
