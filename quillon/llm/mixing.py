@@ -49,8 +49,10 @@ def rates(classes: DataFrame, goals: DataFrame, cap: float = 2.0, tolerance: flo
     Entropy balancing: of all rates, those nearest to one copy each (in relative entropy, at most cap) that meet, for
     each source, its token target and the document count in proportion. The second constraint keeps the length profile:
     with tokens alone the tilt would prefer long or short documents. The solution is exp(a + b * size / mean size),
-    capped; (a, b) solve the convex dual by Newton steps. Each step is one grouped aggregation over the classes
-    (documents of equal source and size count as one row, with their number), and a closed 2 x 2 solution per source.
+    capped; (a, b) solve the convex dual by damped Newton steps: a step of d in the exponent is shortened to ln(1 + d),
+    which keeps it from overshooting into the cap and is a plain Newton step near the solution. Each is one grouped
+    aggregation over the classes (documents of equal source and size count as one row, with their number), and a closed
+    2 x 2 solution per source.
     A source that wants all of cap has no interior solution: its rate is cap.
     """
     x = F.coalesce(F.try_divide("size", "mean"), F.lit(0.0))
@@ -72,7 +74,9 @@ def rates(classes: DataFrame, goals: DataFrame, cap: float = 2.0, tolerance: flo
         da = F.when(singular, g0 / h00).otherwise((h11 * g0 - h01 * g1) / det)
         db = F.when(singular, 0.0).otherwise((h00 * g1 - h01 * g0) / det)
         off = F.greatest(F.abs(g0), F.abs(g1)) / (F.col("part") * F.col("docs"))
-        steps = sums.select("src", da.alias("da"), db.alias("db"), off.alias("now"))
+        d = F.greatest(F.lit(-0.95), -F.col("da"))
+        damp = F.when(F.abs(d) < 1e-6, 1.0).otherwise(F.ln(1 + d) / d)
+        steps = sums.select("src", da.alias("da"), db.alias("db"), off.alias("now")).select("src", (F.col("da") * damp).alias("da"), (F.col("db") * damp).alias("db"), "now")
         state = state.join(steps, "src", "left").select(
             "src", "part", "mean", "docs", (F.col("a") - F.coalesce("da", F.lit(0.0))).alias("a"), (F.col("b") - F.coalesce("db", F.lit(0.0))).alias("b"), F.coalesce("now", F.lit(0.0)).alias("off"),
         )
