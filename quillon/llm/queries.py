@@ -82,6 +82,16 @@ for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
 _ESCAPED = _ESCAPED.format("replace(coalesce({}, ''), chr(92), chr(92) || chr(92))")
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": """
+WITH pairs AS (
+    SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
+        CAST(list_sum(list_transform(list_zip(q.embedding[1:64], x.embedding[1:64]), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS INT) AS distance
+    FROM embeddings q JOIN embeddings x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS "rank" FROM pairs
+)
+SELECT query_id, "rank", neighbor_id, distance FROM ranked WHERE "rank" <= 10
+""",
     "op9_line_dedup": r"""
 WITH split AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
