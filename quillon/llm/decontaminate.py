@@ -19,7 +19,7 @@ _words = re.compile(r"\w+")
 PASSAGE = 64
 #: Latent dimensions, and more of them that the randomised decomposition carries.
 RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
-#: Least cosine of a candidate; least share of an item's words, and of its answer's, in common order.
+#: Least cosine of a candidate; least share of an item's words, and of its answer's if it has one, in common order.
 COSINE, COMMON, ANSWER = 0.5, 0.6, 0.5
 #: Benchmark items that are searched at once; with it, what is broadcast is bounded. More items are further blocks.
 BLOCK = 2_000
@@ -52,7 +52,7 @@ def window_size(n: int) -> int:
 
 
 def items_of(rows: list[tuple]) -> Items:
-    """Of (id, text, answer or None). Without an answer, the last sentence is it, or where that is all, the last quarter."""
+    """Of (id, text, answer or None). An item without an answer is asked for none."""
     vocabulary: dict[str, int] = {}
     number = lambda ws: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64)
     terms, answers, ids = [], [], []
@@ -62,11 +62,8 @@ def items_of(rows: list[tuple]) -> Items:
             part = ws[k : k + PART]
             if len(part) < PART // 4 and k:
                 continue
-            last = words(answer) if answer else words(re.split(r"[.!?\n]+", (text or "").rstrip(" .!?\n\t"))[-1]) if len(ws) <= PART else []
-            if not answer and not 0 < len(last) < len(part):
-                last = part[-max(1, len(part) // 4) :]
             terms.append(number(part))
-            answers.append(number(last))
+            answers.append(number(words(answer)))
             ids.append(i)
     return Items(vocabulary, terms, answers, ids, np.array([window_size(len(t)) for t in terms], int), [places_of(t) for t in terms], [places_of(t) for t in answers])
 
@@ -320,8 +317,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """(doc_id, contaminated 0 or 1, n_items, item_ids, common, cosine, hits) of every row of docs.
 
     Windows over the whole text, of the sizes that the items have, with a quarter's stride, are candidates where their
-    latent cosine with an item is at least COSINE; an item is found where a place has COMMON of its words, and ANSWER
-    of its answer's, in order. Hits carry word positions.
+    latent cosine with an item is at least COSINE; an item is found where a place has COMMON of its words in order, and
+    where the benchmark has an answer_col, ANSWER of its answer's. Hits carry word positions.
 
     Null and empty texts have no hits, nor do null items. Repeated rows get equal results. An empty benchmark finds
     nothing; an empty table gives no rows. Other columns are ignored. Any number of items is searched, in blocks.

@@ -78,3 +78,30 @@ def test_awkward(spark):
     assert D.contaminated(empty(spark), items).collect() == []
     assert {r.contaminated for r in D.contaminated(docs, bench(spark, [])).collect()} == {0}
     assert D.decontaminated(docs, items).columns == docs.columns
+
+
+def test_items_without_their_end(spark):
+    """Without an answer column no part of an item must be there: its end may be missing or edited."""
+    rng = random.Random(6)
+    items = [(i, " ".join(words(rng, 37, 2000)) + ". End.") for i in range(5)] + [(5 + i, " ".join(words(rng, 24, 2000)) + ". " + " ".join(words(rng, 10, 2000)) + ".") for i in range(5)]
+    docs = []
+    for i, text in items:
+        own = text.replace(".", "").split()
+        end = 37 if i < 5 else 24
+        for j, shown in enumerate((own[:end], own[:end] + ["edited"] * (len(own) - end))):
+            ws = words(rng, 200, 2000)
+            ws[90:90] = shown
+            docs.append((10 * i + j, " ".join(ws)))
+    docs += [(1000 + d, " ".join(words(rng, 200, 2000))) for d in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.contaminated(df, bench(spark, items)).collect()}
+    assert got == {d: [d // 10] if d < 1000 else [] for d, _ in docs}
+    assert {r.doc_id for r in D.decontaminated(df, bench(spark, items)).collect()} == {d for d in got if d >= 1000}
+
+
+def test_answers_are_asked_for_where_supplied(spark):
+    ws = [f"q{i}" for i in range(30)]
+    items = spark.createDataFrame([(1, " ".join(ws), "the answer here"), (2, " ".join(ws), None)], "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(ws) + " the answer here"), (3, "pad " * 40)], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.contaminated(docs, items, answer_col="answer").collect()}
+    assert got == {1: [2], 2: [1, 2], 3: []}
