@@ -21,7 +21,7 @@ PASSAGE = 64
 RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
 #: Least cosine of a candidate; least share of an item's words, and of its answer's if it has one, in common order.
 COSINE, COMMON, ANSWER = 0.5, 0.6, 0.5
-#: Benchmark items that are searched at once; with it, what is broadcast is bounded. More items are further blocks.
+#: Benchmark rows that are searched at once; with it, what is broadcast is bounded. More rows are further blocks.
 BLOCK = 2_000
 #: Words of an item beyond which it is split, so that a long item is found by its parts.
 PART = 256
@@ -260,20 +260,35 @@ def _verify(found: dict, items: Items, item: int, cosine: float, text: np.ndarra
         found[items.ids[item]] = (share, cosine, lo, hi)
 
 
+def _after(row) -> Column:
+    """The rows behind a row in the order of (i, t, a), nulls first."""
+    out = F.lit(False)
+    for c in reversed(row.__fields__):
+        v = row[c]
+        behind = F.col(c).isNotNull() if v is None else F.col(c) > F.lit(v)
+        out = behind | (F.col(c).eqNullSafe(F.lit(v)) & out)
+    return out
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> Iterator[Items]:
-    """The benchmark in blocks of BLOCK items, by id; the driver holds one block at a time."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
+    """The benchmark in blocks of BLOCK distinct rows, by id, text and answer; the driver holds one block at a time. A block may end within an id."""
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")).distinct()
     last = None
     while True:
-        block = (rows if last is None else rows.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(BLOCK).collect()
+        block = (rows if last is None else rows.where(_after(last))).orderBy("i", "t", "a").limit(BLOCK).collect()
         if not block:
             return
-        if len(block) == BLOCK:  # rows of the last id stay together
-            block = [r for r in block if r.i != block[-1].i] or block
-        last = block[-1].i
+        last = block[-1]
         yield items_of([tuple(r) for r in block])
 
 
+def _merged(hits: Column) -> Column:
+    """Of the hits of all blocks the best of each item, by id: an item whose rows lie in several blocks may have several."""
+    ranked = F.array_sort(F.transform(hits, lambda h, n: F.struct(h["item_id"].alias("id"), (-h["common"]).alias("order"), n.alias("n"), h.alias("hit"))))
+    best = lambda r: F.filter(r, lambda x, n: (n == 0) | ~x["id"].eqNullSafe(F.get(r, n - 1)["id"]))
+    return F.transform(F.element_at(F.transform(F.array(ranked), best), 1), lambda x: x["hit"])
+
+
 def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> Iterator:
     """For each block of items (ids, hits): a table of doc_id and numbered text, with the ids of id_col, and a function
     from a column, of texts or of numbered texts, to its hits: array<struct<item_id, common, cosine, first, last>>."""
@@ -301,7 +316,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None
                     numbers = [np.frombuffer(t.as_buffer(), np.int32) if is_numbered else numbered(t.as_py(), items.vocabulary) for t in texts]
                     ends, flat = [0], []
                     for g in find(numbers, items, terms, targets):
-                        flat += [(i, *g[i]) for i in sorted(g)]
+                        flat += [(i, *g[i]) for i in sorted(g, key=lambda i: (i is not None, i))]
                         ends.append(len(flat))
                     columns = list(zip(*flat, strict=True)) or [()] * 5
                     kinds = (item_kind, pa.float64(), pa.float64(), pa.int32(), pa.int32())
@@ -320,8 +335,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     latent cosine with an item is at least COSINE; an item is found where a place has COMMON of its words in order, and
     where the benchmark has an answer_col, ANSWER of its answer's. Hits carry word positions.
 
-    Null and empty texts have no hits, nor do null items. Repeated rows get equal results. An empty benchmark finds
-    nothing; an empty table gives no rows. Other columns are ignored. Any number of items is searched, in blocks.
+    Null and empty texts have no hits, nor do items of null text. Rows of one item_id are one item, those without an id
+    too, whose id is null. Repeated rows get equal results. An empty benchmark finds nothing; an empty table gives no
+    rows. Other columns are ignored. Any number of items, and of rows of one item, is searched, in blocks.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = list(searches(docs, benchmark, id_col=id_col, text_col=text_col, **names))
@@ -330,7 +346,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     if len(parts) == 1:
         out = parts[0][0].select("doc_id", parts[0][1](F.col("ids"), True).alias("hits"))
     else:
-        out = own.select("doc_id", F.concat(*(h(F.col("text")) for _, h in parts)).alias("hits"))
+        out = own.select("doc_id", _merged(F.concat(*(h(F.col("text")) for _, h in parts))).alias("hits"))
     top = lambda c: F.coalesce(F.array_max(F.transform("hits", lambda h: h[c])), F.lit(0.0))
     return out.select("doc_id", (F.size("hits") > 0).cast("int").alias("contaminated"), F.size("hits").alias("n_items"), F.col("hits.item_id").alias("item_ids"), top("common").alias("common"), top("cosine").alias("cosine"), "hits")
 

@@ -105,3 +105,37 @@ def test_answers_are_asked_for_where_supplied(spark):
     docs = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(ws) + " the answer here"), (3, "pad " * 40)], "doc_id long, text string")
     got = {r.doc_id: r.item_ids for r in D.contaminated(docs, items, answer_col="answer").collect()}
     assert got == {1: [2], 2: [1, 2], 3: []}
+
+
+def test_blocks_within_an_id(spark, monkeypatch):
+    """More rows of one id, and of none, than a block holds: all of them are searched, and an item counts once."""
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, 20, 5000)) for _ in range(30)]
+    ids = [None] * 11 + [1] * 3 + [2] * 14 + [3] * 2
+    docs = [(d, " ".join([*words(rng, 60, 5000), t, *words(rng, 60, 5000)])) for d, t in enumerate(texts)]
+    docs += [(100, " ".join([docs[0][1], *texts[14:28], docs[29][1]])), (101, None), (102, " ".join(words(rng, 200, 5000)))]
+    want = {d: [i] for d, i in enumerate(ids)} | {100: [None, 2, 3], 101: [], 102: []}
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, list(zip(ids, texts, strict=True)) + [(2, texts[14]), (2, None), (None, None)])
+    for block in (4, 2000):
+        monkeypatch.setattr(D, "BLOCK", block)
+        got = {r.doc_id: r for r in D.contaminated(df, items).collect()}
+        assert {d: r.item_ids for d, r in got.items()} == want
+        assert all(r.n_items == len(r.item_ids) == len(r.hits) and r.common == (1 if r.hits else 0) for r in got.values())
+        assert sorted(r.doc_id for r in D.decontaminated(df, items).collect()) == [101, 102]
+
+
+def test_blocks_keep_the_best_hit_of_an_item(spark, monkeypatch):
+    ws = [f"q{i}" for i in range(40)]
+    items = bench(spark, [(1, "a " + " ".join(ws[:20] + ["other"] * 5)), (1, "b " + " ".join(ws))])
+    monkeypatch.setattr(D, "BLOCK", 1)
+    docs = spark.createDataFrame([(1, "b " + " ".join(ws)), (2, "pad " * 50)], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.contaminated(docs, items).collect()}
+    assert got[1].item_ids == [1] and got[1].common == 1 and not got[2].hits
+
+
+def test_blocks_of_answers(spark, monkeypatch):
+    """Rows that differ in their answer alone, or have none, are rows of their own."""
+    text = " ".join(f"q{i}" for i in range(30))
+    items = spark.createDataFrame([(1, text, a) for a in (None, "x1 x2", "y1 y2", "z1 z2")], "item_id long, text string, answer string")
+    monkeypatch.setattr(D, "BLOCK", 1)
+    assert [[len(a) for a in b.answers] for b in D._blocks(items, "item_id", "text", "answer")] == [[0], [2], [2], [2]]
