@@ -23,7 +23,7 @@ RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
 COSINE, COMMON, ANSWER = 0.5, 0.6, 0.5
 #: Benchmark rows that are searched at once; with it, what is broadcast is bounded. More rows are further blocks.
 BLOCK = 2_000
-#: Words of an item beyond which it is split, so that a long item is found by its parts.
+#: Words of an item beyond which it is split, so that a long item is found by its parts. They overlap by half at least, and the last one ends the item.
 PART = 256
 
 
@@ -58,10 +58,8 @@ def items_of(rows: list[tuple]) -> Items:
     terms, answers, ids = [], [], []
     for i, text, answer in rows:
         ws = words(text)
-        for k in range(0, len(ws), PART):
+        for k in (*range(0, len(ws) - PART, PART // 2), max(0, len(ws) - PART)) if ws else ():
             part = ws[k : k + PART]
-            if len(part) < PART // 4 and k:
-                continue
             terms.append(number(part))
             answers.append(number(words(answer)))
             ids.append(i)

@@ -139,3 +139,16 @@ def test_blocks_of_answers(spark, monkeypatch):
     items = spark.createDataFrame([(1, text, a) for a in (None, "x1 x2", "y1 y2", "z1 z2")], "item_id long, text string, answer string")
     monkeypatch.setattr(D, "BLOCK", 1)
     assert [[len(a) for a in b.answers] for b in D._blocks(items, "item_id", "text", "answer")] == [[0], [2], [2], [2]]
+
+
+def test_parts_of_long_items(spark):
+    """A quote of the end of an item, or over what would be a boundary of parts."""
+    ws = [f"q{i}" for i in range(900)]
+    items = bench(spark, [(n, " ".join(f"{n}{w}" for w in ws[:n])) for n in (256, 257, 300, 319, 512, 900)])
+    quotes = [(256, 0, 256), (257, 60, 257), (300, 110, 300), (319, 140, 319), (512, 106, 406), (900, 618, 900), (900, 320, 510), (900, 0, 900)]
+    docs = [(d, " ".join(["pad"] * 90 + [f"{n}{w}" for w in ws[a:b]] + ["pad"] * 90)) for d, (n, a, b) in enumerate(quotes)]
+    df = spark.createDataFrame([*docs, (99, "pad " * 300)], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.contaminated(df, items).collect()}
+    assert got == {d: [q[0]] for d, q in enumerate(quotes)} | {99: []}
+    whole = [(f"{n}", [len(t) for t in D.items_of([(n, " ".join(ws[:n]), None)]).terms]) for n in (0, 1, 256, 257, 384, 385)]
+    assert whole == [("0", []), ("1", [1]), ("256", [256]), ("257", [256] * 2), ("384", [256] * 2), ("385", [256] * 3)]
