@@ -59,8 +59,9 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts of (doc, text_hash, start, kind, end) that a complementary part completes within the scope.
 
     An interval join: a part is listed under each block of code points that it covers, a weak part also under those that
-    its scope reaches, so only parts of one document near one another meet. A weak part within a base one is the same thing twice,
-    and doesn't count.
+    its scope reaches, so only parts of one document near one another meet. A name or an address within a base one, and a
+    random-looking string that has characters of one, is the same thing twice, and doesn't count; a name or an address
+    around a base one does.
     """
     number = KINDS.index
     blocks = lambda reach: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("start") - reach) / scope)).cast("int"), F.floor((F.col("end") + reach) / scope).cast("int")))
@@ -68,7 +69,9 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = parts.where(F.col("kind") >= len(BASE))
     at = parts.withColumn("block", blocks(0))
     over = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    hidden = weak.withColumn("block", blocks(0)).alias("a").join(at.where(F.col("kind") < len(BASE)).alias("b"), same("a", "b") & over, "left_semi").drop("block").distinct()
+    within = (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
+    twice = F.when(F.col("a.kind") == number("secret"), over).otherwise(within)
+    hidden = weak.withColumn("block", blocks(0)).alias("a").join(at.where(F.col("kind") < len(BASE)).alias("b"), same("a", "b") & twice, "left_semi").drop("block").distinct()
     own = lambda d: [F.col(f"{d}.{c}") for c in ("text_hash", "start", "kind", "end")]
     free = parts.alias("p").join(hidden.alias("h"), F.col("p.doc").eqNullSafe(F.col("h.doc")) & F.array(*own("p")).eqNullSafe(F.array(*own("h"))), "left_anti")
     free = staged(free, "parts")

@@ -51,3 +51,9 @@ def test_planted(spark):
 def test_awkward(spark):
     same(awkward(spark))
     assert S.scan(empty(spark)).collect() == []
+
+
+def test_an_address_around_a_base_part_counts(spark):
+    text = f"https://api.example.com/v1?token=abcdef99 {'aB3' * 6}"
+    got = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.spans == "endpoint:0:41,assign:27:41,secret:42:60" and got.n_linked == 2
