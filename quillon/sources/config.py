@@ -67,6 +67,9 @@ def add(engine: Engine, name: str, options: dict) -> None:
         for own, source in discovered(spark, name, options):
             if own.lower() not in engine.tables:  # named ones come before discovered ones
                 try:
-                    engine.register(own, source.load()[""])
+                    for n, df in source.load().items():
+                        child = own + n.removeprefix(source.name) if n.startswith(source.name) else f"{own}_{n}" if n else own
+                        if child.lower() not in engine.tables:
+                            engine.register(child, df)
                 except TsqlError:
                     continue

@@ -91,3 +91,13 @@ def test_http(spark):
     e = config.load(Engine(spark), {"users": {"url": ["http://127.0.0.1:1/none", url], "next": "next", "auth": {"type": "bearer", "token": "${QUILLON_TEST_TOKEN}"}, "credential_hosts": ["127.0.0.1"]}})
     assert sorted(rows(e.query("SELECT id, ok FROM users"))) == [(10 * n + i, "Bearer t") for n in (1, 2, 3) for i in range(2)]
     server.shutdown()
+
+
+def test_discovered_children(spark, monkeypatch):
+    from quillon.sources import discover, web
+
+    source = web.HttpSource(spark, "users", {"url": "http://x.example/users", "expand": True})
+    monkeypatch.setattr(web, "raced", lambda urls, get: (urls[0], json.dumps([{"id": 1, "tags": ["a", "b"]}, {"id": 2, "tags": []}]).encode()))
+    monkeypatch.setattr(discover, "discovered", lambda *a: [("api_users", source)])
+    e = config.load(Engine(spark), {"api": {"discover": "http://x.example", "expand": True, "prefix": "api_"}})
+    assert sorted(rows(e.query("SELECT users_id, value FROM api_users_tags"))) == [(1, "a"), (1, "b")] and e.query("SELECT id FROM api_users").count() == 2
