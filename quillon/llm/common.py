@@ -69,7 +69,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the undirected edges; root is the smallest node of its component.
 
     Alternating large and small stars: each step is a grouped minimum and a join on the node, so no component is ever
-    gathered in one task, and hubs are left to the skew join. Ends when a round changes no edge.
+    gathered in one task. The minima are dealt out again before they are joined, so that the skew join can split a hub. Ends when a round changes no edge.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
     e, before = staged(e, "edges"), None
@@ -80,8 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
         both = e.union(e.select("m", "v")).toDF("u", "w")
         low = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("w > u").join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
-        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        large = both.where("w > u").join(low.repartition("u"), "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
+        low = large.groupBy("v").agg(F.min("m").alias("low")).repartition("v")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))).alias("x")).select("x.*")
         e = staged(small.where("v <> m").distinct(), "edges")
 

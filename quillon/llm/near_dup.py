@@ -1,8 +1,9 @@
-"""Near-duplicates by Order MinHash, verified by banded alignment of five-word shingles."""
+"""Near-duplicates by Order MinHash over five-word shingles, verified by banded alignment of the words."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +13,21 @@ from pyspark.sql import functions as F
 
 from .common import components, labelled, mix, shingles, staged
 
+#: Words of a shingle, and the least similarity of a link: words that an alignment matches, over all of both texts.
 WORDS, SIMILARITY = 5, 0.8
-#: Sketches of two ordered minima each; BAND of them make a bucket key. At a similarity of 0.8 a sketch agrees with
-#: a chance of about 0.8 ** 2, a band with that to the third power, one of 24 bands with 0.999.
-BANDS, BAND = 24, 3
+#: Sketches of two ordered minima each; BAND of them make a bucket key. Where two texts share J of their shingles a
+#: sketch agrees with a chance of about J ** 2, a band with J ** 4. A text with every twentieth word changed, which has
+#: a similarity of 0.9 and a J of 0.64, meets its original in one of the bands with a chance of 0.998; one with every
+#: twelfth word changed (0.85, J of 0.47) with 0.83.
+BANDS, BAND = 36, 2
 SKETCHES = BANDS * BAND
-#: Sketches of SKETCHES that a pair must share to be aligned where a bucket is compared beyond its leader: of 46
-#: expected at a similarity of 0.8, with a deviation of 4, so a pair falls below with a chance of about 1e-5.
-AGREE = 28
-#: Shingles that a text is compared by where a bucket is compared beyond its leader: all, and from twice SAMPLE on those
-#: whose hashes fall under a power of 1/2 that leaves SAMPLE to 2 * SAMPLE. Then the similarity is estimated, with a
-#: deviation of at most 0.0125, so MARGIN is seven deviations.
-SAMPLE, MARGIN = 1024, 0.09
+#: Sketches of SKETCHES that a pair must share to be aligned where a bucket is compared beyond its leader. At a J of 0.5
+#: 18 are expected, with a deviation of 3.7; at one of 0.2, where the texts share no more than a passage, 3.
+AGREE = 8
+#: Members of a bucket that one task compares with all others of it.
+MEMBERS_PER_CELL = 2_000
+#: Words that are aligned at a time against a part of the other text, and bits that their masks have in all.
+ROWS, MOST_BITS = 4_096, 2**28
 _rng = np.random.default_rng(20240917)
 _XOR = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,147 +48,156 @@ def sketch(labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sketches: np.ndarray) -> np.ndarray:
-    s = sketches.reshape(BANDS, BAND)
-    out = np.arange(BANDS).astype(np.uint64)
-    for j in range(BAND):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + s[:, j])
-    return out.view(np.int64)
+def _bits(places: list[int], lo: int, hi: int) -> int:
+    """The places from lo to before hi as bits of one integer."""
+    own = places[bisect_left(places, lo) : bisect_left(places, hi)]
+    if len(own) < 64:
+        return sum(1 << p - lo for p in own)
+    flags = np.zeros(hi - lo, np.uint8)
+    flags[np.array(own) - lo] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Common labelled shingles in the same order, over all of both: at least the least similarity, or else 0.
+def matched(a: list, b: list, width: int) -> int:
+    """The length of the longest common subsequence of a and b with all matches whose places differ by width at most; of
+    matches beyond that it may have some.
 
-    With that similarity, at most d = (1 - least) / (1 + least) of both lengths are unmatched, so matching places lie
-    in a band of that width. Labels occur once in a text, so the longest common subsequence within the band is the
-    longest increasing run of places.
+    The places of a are the bits of one integer, and each word of b updates all of them at once. Of that integer only
+    the part within the band is taken up, for some words of b at a time: what lies below no longer changes, and above no
+    place has been matched so far, so that all bits are set and a carry only runs through them.
+    """
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    step = max(64, min(ROWS, MOST_BITS // (2 * width + 1)))
+    total, bits, at, top = 0, 0, 0, 0  # bits: of the places from at to before top; a 0 is a match
+    for row in range(0, len(b), step):
+        lo, hi = max(0, row - width), min(len(a), row + step + width)
+        if lo >= hi:
+            break
+        bits |= (1 << hi - at) - (1 << top - at)
+        total += lo - at - (bits & (1 << lo - at) - 1).bit_count()
+        bits >>= lo - at
+        at, top, full, masks = lo, hi, (1 << hi - lo) - 1, {}
+        for y in b[row : row + step]:
+            m = masks.get(y)
+            if m is None:
+                m = masks[y] = _bits(where.get(y, []), lo, hi)
+            if m:
+                u = bits & m
+                bits = ((bits + u) | (bits - u)) & full
+    return total + top - at - bits.bit_count()
+
+
+def aligned(a: list, b: list, least: float = SIMILARITY) -> float:
+    """The words that the best alignment matches in order, over all of both: at least the least similarity, or else 0.
+
+    With that similarity at least `need` words match, so at most `total - 2 * need` are unmatched, and matching places
+    differ by no more: the alignment is searched within a band of that width. A common beginning and end are matched first.
     """
     total = len(a) + len(b)
     need = least / (1 + least) * total
     if not total or min(len(a), len(b)) < need - 1e-9:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    keep = np.abs(i - j) <= total - 2 * need + 1
-    i, j = i[keep], j[keep]
-    if len(i) < need - 1e-9:
+    lo, n = 0, min(len(a), len(b))
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if lo + hi + sum((Counter(x) & Counter(y)).values()) < need - 1e-9:
         return 0.0
-    places = j[np.argsort(i)]
-    if np.all(places[1:] > places[:-1]):
-        m = len(places)
-    else:
-        ends: list[int] = []
-        for p in places.tolist():
-            at = bisect_left(ends, p)
-            ends[at : at + 1] = [p]
-        m = len(ends)
+    m = lo + hi + (matched(x, y, int(total - 2 * need + 1)) if x and y else 0)
     found = m / (total - m)
     return found if found >= least - 1e-9 else 0.0
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, nodes, n, b, s = [], [], [], [], []
-        for i, node, text in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = labelled(shingles(text.as_py() or "", WORDS))
-            ids.append(i.as_py())
-            nodes.append(node)
-            n.append(len(words))
-            found = sketch(words) if len(words) else None
-            b.append([] if found is None else bands(found))
-            s.append([] if found is None else (found & np.uint64(0x7FFFFFFF)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.int32()))], ["doc_id", "node", "n", "bands", "sketch"])
+        n, ends, flat = [], [0], []
+        for text in batch.column(2):
+            own = labelled(shingles(text.as_py() or "", WORDS))
+            n.append(len(own) + WORDS - 1 if len(own) > 1 else len(own))
+            if len(own):
+                flat.append((sketch(own) & np.uint64(0x7FFFFFFF)).astype(np.int32))
+            ends.append(ends[-1] + (SKETCHES if len(own) else 0))
+        sketches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), sketches], ["doc_id", "digest", "n", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: dict = {}
-
-    def of(node: bytes, text: str) -> np.ndarray:
-        if node not in last:
-            if len(last) > 64:
-                last.clear()
-            last[node] = labelled(shingles(text, WORDS))
-        return last[node]
-
     for batch in batches:
         a, b, ta, tb = batch.columns
-        ok = [bool(aligned(labelled(shingles(x.as_py(), WORDS)), of(n.as_py(), y.as_py()))) for x, n, y in zip(ta, b, tb, strict=True)]
+        ok = []
+        for x, n, y in zip(ta, b.to_pylist(), tb, strict=True):
+            if n not in last:
+                last = {n: words_of(y.as_py())}  # the leader, whose pairs come together
+            ok.append(bool(aligned(words_of(x.as_py()), last[n])))
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        levels, samples = [], []
-        for t in batch.column(1):
-            h = mix(labelled(shingles(t.as_py(), WORDS)) + np.uint64(1)) >> np.uint64(2)
-            levels.append(max(0, (len(h) // SAMPLE).bit_length() - 1))
-            samples.append(h[h < np.uint64(2**62 >> levels[-1])].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.array(samples, pa.list_(pa.int64()))], ["node", "level", "sample"])
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
-    """(doc_id, class_id, is_kept) of every row of docs: texts linked by an ordered five-word similarity of 0.8 or more,
-    directly or by way of others, are one class, named by its smallest doc_id; is_kept marks that document.
+    """(doc_id, class_id, is_kept) of every row of docs: texts linked by a similarity of 0.8 or more, directly or by way
+    of others, are one class, named by its smallest doc_id; is_kept marks that document.
 
     1. Equal texts become one node at once (grouped by digest), so copies cost nothing further.
     2. Nodes meet in the buckets of their bands. A bucket's leader is the node whose buckets are the fullest in all -
        among copies of one text with small edits, the text itself. Every other member is aligned with the leader.
     3. Members that the leader's class did not take are compared with the members of other classes in their buckets, by
-       sketches and then by samples of labelled shingles - whole ones for texts of up to 2,047 - within the join, which
-       reports only those that have the similarity. Nothing is capped, and a bucket that its leader resolved makes no
-       comparisons at all.
+       their sketches and within the join, which reports only pairs that share AGREE of them. A bucket of many such
+       members is dealt out by cells of MEMBERS_PER_CELL. Nothing is capped, and a bucket that its leader resolved makes
+       no comparisons at all.
     4. Those are aligned too. Verified links become classes by alternating stars.
 
     Null texts are no one's copies: each row is a class of its own. Texts without words are only linked to equal texts;
-    texts of 1 to 4 words are one shingle. Ties go to the smaller id. Repeated rows share a class; all rows of the
-    smallest id are marked as kept. Empty table: no rows. Other columns are ignored.
+    texts of 1 to 4 words are one shingle, so they are only linked to the same words. Ties go to the smaller id, and null
+    ids, each of which stands for itself, come last. Repeated rows share a class; all rows of the smallest id are marked
+    as kept. Empty table: no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("node"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = staged(rows.mapInArrow(_sketches, f"doc_id {kind}, node binary, n long, bands array<long>, sketch array<int>"), "sketches")
-    nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
+    made = staged(rows.mapInArrow(_sketches, f"doc_id {kind}, digest binary, n long, sketch array<int>"), "sketches")
+    nodes = made.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # fixed by being written
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, *(F.get("sketch", i * BAND + j) for j in range(BAND))))
+    banded = nodes.where(F.size("sketch") > 0).select("node", "n", F.explode(key).alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = staged(banded.join(shared, "band"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("members").alias("central"))
     leaders = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "n", "node")).alias("x")).select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"))
     buckets = staged(buckets.join(leaders, "band"), "led")
-    near_leader = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n") - 1e-9
-    first = staged(buckets.where(near_leader & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    texts = staged(
-        rows.join(buckets.select("node", "doc_id").distinct(), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "text"), "texts",
-    )
+    near = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
+    first = staged(buckets.where(near("n", "leader_n") & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    some = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("own"), F.col("doc_id").alias("own_id"))
+    texts = rows.join(some, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    texts = staged(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
 
     def tested(pairs: DataFrame) -> DataFrame:
         a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "tested")
+        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "tested")
 
     links = tested(first)
     of = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = of.where("node = leader").select("band", F.col("root").alias("lead_root"))
     of = of.join(lead, "band").withColumn("is_rest", F.col("root") != F.col("lead_root"))
-    of = staged(of.join(of.where("is_rest").select("band").distinct(), "band", "left_semi"), "open")
-    some = of.select("node").distinct()
-    samples = texts.join(some, "node", "left_semi").mapInArrow(_samples, "node binary, level int, sample array<long>")
-    sketches = made.where("node is not null").select("node", "sketch").join(some, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    wanted = staged(sketches.join(samples, "node"), "wanted")
-    side = lambda d, x: d.join(wanted, "node").select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "leader", "is_rest", "sketch", "level", "sample")))
-    agree = F.size(F.filter(F.zip_with("sketch_x", "sketch_y", lambda p, q: p == q), lambda p: p))
-    level = F.greatest("level_x", "level_y")
-    own = lambda x: F.when(F.col(f"level_{x}") == level, F.col(f"sample_{x}")).otherwise(F.filter(f"sample_{x}", lambda h: h < F.call_function("shiftright", F.lit(2**62), level)))
-    both, all_ = F.size(F.array_intersect(own("x"), own("y"))), F.size(own("x")) + F.size(own("y"))
-    similar = both >= F.when(level == 0, SIMILARITY - 1e-9).otherwise(SIMILARITY - MARGIN) * (all_ - both)
-    apart = (
-        (F.col("root_x") != F.col("root_y")) & (F.col("node_y") != F.col("leader_y")) & (~F.col("is_rest_y") | (F.col("node_x") < F.col("node_y")))
-        & (F.least("n_x", "n_y") >= SIMILARITY * F.greatest("n_x", "n_y") - 1e-9) & (agree >= AGREE) & similar
-    )
-    x, y = side(of.where("is_rest"), "x"), side(of, "y")
-    second = staged(x.join(y, (x["band"] == y["band"]) & apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "pairs")
-    classes = components(links.union(tested(second)))
-    named = classes.join(nodes.select("node", "doc_id"), "node")
+    open_ = of.where("is_rest").groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_CELL).cast("int").alias("cells"))
+    of = staged(of.join(open_, "band").join(nodes.select("node", "sketch"), "node").select("band", "node", "n", "root", "is_rest", "sketch", "cells", (F.col("node") == F.col("leader")).alias("is_leader")), "open")
+    x = of.where("is_rest").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
+    y = of.where("not is_leader").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")  # the leader has been aligned
+    agree = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.is_rest") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & (agree >= AGREE)
+    second = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    classes = components(links.union(tested(staged(second.distinct(), "pairs"))))
+    named = nodes.select("digest", "node", "doc_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    alone = nodes.join(classes, "node", "left_anti").select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("root"))
-    named = named.join(names, "root").select("node", "class_id", "root").unionByName(alone)
-    out = made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["node", "root"] * with_node)
+    named = staged(named.join(names, "root").select("digest", "class_id", "root"), "named")  # so that a hot text's rows can be split
+    out = made.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["digest", "root"] * with_node)
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
@@ -196,9 +209,9 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts, or are null, lose no class.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, with_node=True)
-    kept = found.where("is_kept and node is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x"))
-    kept = kept.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.node").alias("_kept_node"))
+    kept = found.where("is_kept and digest is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.digest").alias("_kept"))
     row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    own = row.select("row", F.col("row")[id_col].alias("_id"), F.unhex(F.md5(F.col("row")[text_col].cast("binary"))).alias("_node"))
-    some = own.where("_node is not null").join(kept, (F.col("_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_node") == F.col("_kept_node")), "left_semi")
-    return some.dropDuplicates(["_id", "_node"]).select("row.*").unionByName(own.where("_node is null").select("row.*"))
+    own = row.select("row", F.col("row")[id_col].alias("_id"), F.unhex(F.md5(F.col("row")[text_col].cast("binary"))).alias("_digest"))
+    some = own.where("_digest is not null").join(kept, (F.col("_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return some.dropDuplicates(["_id", "_digest"]).select("row.*").unionByName(own.where("_digest is null").select("row.*"))

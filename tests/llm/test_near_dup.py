@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 
 from quillon.llm.common import components, labelled, shingles
-from quillon.llm.near_dup import aligned, bands, near_duplicates, representatives, sketch
+from quillon.llm import near_dup
+from quillon.llm.near_dup import SKETCHES, aligned, matched, near_duplicates, representatives, sketch, words_of
 
 from .cases import awkward, empty, words
 
@@ -19,8 +20,9 @@ def lcs(a, b):
 
 
 def brute(docs):
-    """Classes by comparing all pairs with a plain longest common subsequence of labelled five-word shingles."""
-    lab = {i: labelled(shingles(t or "")).tolist() for i, t in docs.items()}
+    """Classes by comparing all pairs with a plain longest common subsequence of their words."""
+    own = {i: words_of(t or "") for i, t in docs.items()}
+    seen = {i: set(labelled(shingles(t or "")).tolist()) for i, t in docs.items()}
     up = {i: i for i in docs}
 
     def find(i):
@@ -33,32 +35,68 @@ def brute(docs):
         for j in ids[k + 1 :]:
             if docs[i] is None or docs[j] is None or find(i) == find(j):
                 continue
-            total = len(lab[i]) + len(lab[j])
-            common = len(set(lab[i]) & set(lab[j]))
-            if docs[i] == docs[j] or (common and common / (total - common) >= 0.8 and (m := lcs(lab[i], lab[j])) / (total - m) >= 0.8 - 1e-9):
+            total = len(own[i]) + len(own[j])
+            if docs[i] == docs[j] or (seen[i] & seen[j] and 9 * min(len(own[i]), len(own[j])) >= 4 * total and (m := lcs(own[i], own[j])) / (total - m) >= 0.8 - 1e-9):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     return {i: find(i) for i in ids}
 
 
-def test_alignment_is_the_longest_common_subsequence():
+def test_alignment_is_the_longest_common_subsequence(monkeypatch):
     rng = random.Random(1)
-    for _ in range(60):
-        a = words(rng, rng.randrange(5, 80), 30)
+    for n in range(400):
+        monkeypatch.setattr(near_dup, "ROWS", (64, 4096)[n % 2])
+        a = words(rng, rng.randrange(1, 300), (3, 30, 3000)[n % 3])
         b = list(a)
-        for _ in range(rng.randrange(0, 4)):
-            at = rng.randrange(len(b))
+        for _ in range(rng.randrange(0, 12)):
+            at = rng.randrange(len(b) + 1)
             b[at : at + rng.randrange(0, 3)] = words(rng, rng.randrange(0, 3), 30)
-        x, y = labelled(shingles(" ".join(a))), labelled(shingles(" ".join(b)))
-        m = lcs(x.tolist(), y.tolist())
-        sim = m / (len(x) + len(y) - m)
-        got = aligned(x, y)
-        assert got == (sim if sim >= 0.8 else 0.0) or abs(got - sim) < 1e-9
+        m = lcs(a, b)
+        sim = m / (len(a) + len(b) - m)
+        assert abs(aligned(a, b) - (sim if sim >= 0.8 - 1e-9 else 0.0)) < 1e-9
+        assert matched(a, b, 10**6) == m
+    assert aligned([], []) == 0.0 and aligned(["a"], []) == 0.0 and aligned(["a"], ["a"]) == 1.0
+
+
+def edited(rng, text, rate):
+    """A copy with that share of its words replaced, dropped or doubled."""
+    out = []
+    for w in text:
+        if rng.random() < rate:
+            out += rng.choice(([f"e{rng.randrange(10**9)}"], [], [w, w]))
+        else:
+            out.append(w)
+    return out
+
+
+def test_recall_by_edit_rate_and_length(spark):
+    """Of copies at or above the similarity nearly all are found; unlike texts that share a passage stay apart."""
+    rng, rows, pairs, n = random.Random(11), [], {}, 0
+    for rate in (0.01, 0.03, 0.05, 0.07):
+        for length in (30, 100, 400):
+            for _ in range(40):
+                a = words(rng, length, 50_000)
+                b = edited(rng, a, rate)
+                m = lcs(a, b)
+                pairs.setdefault((rate, length), []).append((n, n + 1, m / (len(a) + len(b) - m)))
+                rows += [(n, " ".join(a)), (n + 1, " ".join(b))]
+                n += 2
+    passage = words(rng, 60, 50_000)
+    alone = range(n, n + 300)
+    rows += [(i, " ".join(words(rng, 70, 50_000) + passage)) for i in alone]
+    of = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    for (rate, length), found in pairs.items():
+        near = [(a, b) for a, b, s in found if s >= 0.8]
+        assert sum(of[a] == of[b] for a, b in near) >= (0.95 if rate < 0.07 else 0.75) * len(near), (rate, length)
+        assert not any(of[a] == of[b] for a, b, s in found if s < 0.8 - 1e-9)
+    every = [(a, b) for found in pairs.values() for a, b, s in found if s >= 0.8]
+    assert sum(of[a] == of[b] for a, b in every) >= 0.97 * len(every)
+    assert all(of[i] == i for i in alone)
 
 
 def test_sketch_keeps_order():
     a = labelled(shingles(" ".join(words(random.Random(2), 200, 10_000))))
-    assert np.array_equal(sketch(a), sketch(a.copy())) and len(bands(sketch(a))) == 24
+    assert np.array_equal(sketch(a), sketch(a.copy())) and len(sketch(a)) == SKETCHES
     assert (sketch(a) == sketch(a[::-1].copy())).mean() < 0.05  # same set, other order
 
 
@@ -89,6 +127,20 @@ def test_chain_and_hub(spark):
     assert got == brute(docs)
 
 
+def test_shared_passage(spark, monkeypatch):
+    """A bucket of many unlike texts with some pairs of copies among them, dealt out over several cells."""
+    monkeypatch.setattr(near_dup, "MEMBERS_PER_CELL", 7)
+    rng = random.Random(6)
+    passage, docs = words(rng, 300, 10_000), {}
+    for i in range(60):
+        own = words(rng, 40, 10_000) if i % 3 else words(rng, 95, 10_000)
+        docs[i] = " ".join(passage + own)
+        if i % 5 == 0:
+            docs[1000 + i] = " ".join(passage + edited(rng, own, 0.04))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, i) for i in range(101, 140)] + [(201, 200)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -108,6 +160,15 @@ def test_awkward(spark):
     assert near_duplicates(empty(spark)).collect() == []
 
 
+def test_null_ids(spark):
+    """Near copies without an id are aligned like those with one."""
+    base = words(random.Random(12), 120, 9000)
+    other = [*base[:60], "new", *base[61:]]
+    for ids in ((1, 2), (None, 2), (1, None), (None, None)):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, (base, other), strict=True)], "doc_id long, text string")
+        assert representatives(df).count() == 1, ids
+
+
 def test_representatives(spark):
     a, b, c = (" ".join(words(random.Random(i), 80, 9000)) for i in (7, 8, 9))
     rows = [(1, a), (2, a + " tail"), (2, b), (3, b), (None, c), (None, c), (None, "another text of no id at all"), (5, a), (5, a), (6, None), (7, None), (0, b + " end"), (8, "one"), (8, "one")]
