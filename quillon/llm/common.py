@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -17,14 +18,21 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch: what a task holds of texts at a time, on either side, is a few of them.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _staged: dict[str, list[str]] = defaultdict(list)
 _owner = ["session"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one where none is set and the
+    executors are threads of the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,12 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
-    _staged[_owner[-1]].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, so that long texts don't meet in one; a smaller bound stays."""
+    now = re.match(r"\d+", str(spark.conf.get(_BATCH)))
+    if not now or int(now[0]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which release() deletes like what was staged."""
+    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    _staged[_owner[-1]].append(path)
+    return path
+
+
 @contextlib.contextmanager
 def owner(name: str):
     """What is staged inside belongs to name, for release()."""
