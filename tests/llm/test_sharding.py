@@ -1,7 +1,8 @@
 import zlib
 from collections import defaultdict
 
-from quillon.llm.sharding import lpt, shard
+from quillon.llm import sharding
+from quillon.llm.sharding import lpt, shard, sharded
 
 from .cases import awkward, empty
 
@@ -46,3 +47,20 @@ def test_awkward(spark):
     docs = awkward(spark)
     check(shard(docs, 3).collect(), [(r.doc_id, r.text) for r in docs.collect()], 3)
     assert shard(empty(spark), 3).collect() == []
+
+
+def test_rows_keep_their_columns(spark):
+    docs = awkward(spark)
+    rows = sharded(docs, 3).collect()
+    assert set(sharded(docs, 3).columns) == set(docs.columns)  # one of which is called shard
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.shard) for r in shard(docs, 3).collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.shard) for r in rows) == want
+    assert sorted(repr(r.text) for r in rows) == sorted(repr(r.text) for r in docs.collect())
+    assert sharded(empty(spark), 3).collect() == []
+
+
+def test_cells(spark, monkeypatch):
+    """A row that a third of the table repeats is numbered in several cells."""
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 10)
+    docs = spark.createDataFrame([(7, "same") if i % 3 == 0 else (i, f"text {i}") for i in range(300)], "doc_id long, text string").repartition(5)
+    check(shard(docs, 2).collect(), [(r.doc_id, r.text) for r in docs.collect()], 2)
