@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most: those whose ids hash lowest. Everything else reads all rows.
+from .common import text_batches
+
+#: Labelled rows that a model is fitted on at most: those whose ids and texts hash lowest. Everything else reads all rows.
 MAX_TRAIN = 12_000
 #: Words of one model, and the chi-square that each must reach (by chance: one word in a thousand).
 MAX_WORDS, LEAST_CHI2 = 256, 10.83
@@ -42,7 +44,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [features(t.as_py()) for t in b.column(0)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(1), pa.array([np.fromiter(w, np.int64, len(w)) for w, _ in got], pa.list_(pa.int64())), pa.array([f for _, f in got], pa.list_(pa.float64()))], ["y", "words", "form"]
+            [b.column(1), b.column(2), pa.array([zlib.crc32((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(0)], pa.int64()), pa.array([np.fromiter(w, np.int64, len(w)) for w, _ in got], pa.list_(pa.int64())), pa.array([f for _, f in got], pa.list_(pa.float64()))], ["y", "h", "text", "words", "form"]
         )
 
 
@@ -51,16 +53,24 @@ class Sample:
     words: list[np.ndarray]
     form: np.ndarray
     y: np.ndarray  # a column for each label
+    texts: np.ndarray  # a hash of each text
 
 
 def sample(docs: DataFrame, labels: DataFrame, ys: list, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Sample:
-    """Features of at most `most` labelled rows, made on the executors; ys are columns of labels, 0 or 1."""
+    """Features of at most `most` labelled rows, made on the executors; ys are columns of labels, 0 or 1.
+
+    Where rows or labels repeat an id, each pair of a row and a label is a labelled row, and the bound holds for those:
+    they are ordered by a hash of id and text, and each task hands on `most` of them at most.
+    """
+    text_batches(docs.sparkSession)
     few = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.array(*(y.cast("int") for y in ys)).alias("y")).where(~F.exists("y", F.isnull))
     few = few.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "label_id").select("text", "y")  # at most `most` rows
-    got = rows.mapInArrow(_featured, "y array<int>, words array<long>, form array<double>").toArrow()
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "label_id")
+    rows = rows.select("text", "y", F.xxhash64("label_id", "text").alias("h"))
+    got = rows.mapInArrow(_featured, "y array<int>, h long, text long, words array<long>, form array<double>").orderBy("h", "y").limit(most).toArrow()
     return Sample(
         [np.array(x, np.int64) for x in got.column("words").to_pylist()], np.array(got.column("form").to_pylist(), float).reshape(-1, N_FORM), np.array(got.column("y").to_pylist(), int).reshape(-1, len(ys)),
+        np.array(got.column("text").to_pylist(), np.int64),
     )
 
 
@@ -140,9 +150,9 @@ def fit(words: list, form: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Mo
     return model
 
 
-def out_of_fold(words: list, form: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each row the probability by a model that hasn't seen it."""
-    fold, out = np.arange(len(y)) % FOLDS, np.full(len(y), y.mean() if len(y) else 0.0)
+def out_of_fold(words: list, form: np.ndarray, earlier: np.ndarray, y: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """For each row the probability by a model that hasn't seen its text: equal texts lie in one fold, by their hash."""
+    fold, out = texts % FOLDS, np.full(len(y), y.mean() if len(y) else 0.0)
     for f in range(FOLDS):
         own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
         if len(own) and len(rest):

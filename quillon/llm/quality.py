@@ -65,7 +65,7 @@ def posteriors(rows: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", most: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, p_doc, p_host, p_path, score, quality 0 or 1) of every row of docs; 1 is kept.
 
-    The document classifier is fitted on at most `most` labelled rows; every row counts in the site statistics. Null
+    The document classifier is fitted on at most `most` labelled rows, by linear.sample(); every row counts in the site statistics. Null
     hosts or paths are sites of their own. Null texts count as empty. Without labels each p is 0.5. Repeated rows all
     count. Empty table: no rows. Other columns are ignored.
     """

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .linear import MAX_TRAIN, Model, features_of, fit, out_of_fold, sample
 
-#: The chain, in order: each later model also sees the earlier probabilities. The labels give two categories.
+#: The chain, in order: each later model also sees the earlier probabilities. The labels give two categories, of which
+#: the first, low quality, is no kind of toxicity but goes with it; other labels make another chain.
 CHAIN = {"low_quality": lambda: F.lit(1) - F.col("quality"), "toxic": lambda: F.col("toxic")}
 #: Chosen on held-out labelled rows, where it gave no false alarm.
 REJECT_AT = 0.3
+#: Texts whose words are weighed together.
+TOGETHER = 512
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> list[Model]:
@@ -26,7 +29,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, *, id_col
         y = rows.y[:, c]
         models.append(fit(rows.words, rows.form, earlier, y))
         if c + 1 < len(chain):
-            earlier = np.c_[earlier, out_of_fold(rows.words, rows.form, earlier, y)]
+            earlier = np.c_[earlier, out_of_fold(rows.words, rows.form, earlier, y, rows.texts)]
     return models
 
 
@@ -45,7 +48,7 @@ def probabilities(models: list[Model], text: Column, chain: dict = CHAIN) -> Col
     @F.arrow_udf(", ".join(f"{c} double" for c in chain))
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            p = predict_chain(models, (t.as_py() for t in texts))
+            p = np.concatenate([predict_chain(models, (t.as_py() for t in texts[k : k + TOGETHER])) for k in range(0, len(texts), TOGETHER)] or [np.zeros((0, len(chain)))])
             yield pa.StructArray.from_arrays([pa.array(p[:, i], pa.float64()) for i in range(len(chain))], list(chain))
 
     return scored(text)
