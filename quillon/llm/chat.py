@@ -61,13 +61,16 @@ def masked(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Of sorted token offsets and sorted learnt spans: the mask of the tokens, and the part of each that lies in a span.
 
     A token may reach over the end of a span; the part says which of its characters count. Both lists are sorted, so the
-    span of a token is found by binary search. A token that covers more than one span is of the first.
+    span of a token is found by binary search. A token that reaches into more than one span is an error.
     """
+    spans = spans[spans[:, 0] < spans[:, 1]]
     if not len(spans) or not len(offsets):
         none = np.zeros(len(offsets), np.int64)
         return none.astype(bool), none, none
     at = np.searchsorted(spans[:, 1], offsets[:, 0], side="right")
     own = spans[np.minimum(at, len(spans) - 1)]
+    if (spans[np.minimum(at + 1, len(spans) - 1), 0] < offsets[:, 1])[at + 1 < len(spans)].any():
+        raise ValueError("a token reaches into two learnt texts")
     lo, hi = np.maximum(offsets[:, 0], own[:, 0]), np.minimum(offsets[:, 1], own[:, 1])
     on = (at < len(spans)) & (lo < hi)
     return on, np.where(on, lo, 0), np.where(on, hi, 0)

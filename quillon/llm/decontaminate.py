@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import staged
+from .common import staged, text_batches
 
 _words = re.compile(r"\w+")
 #: Words of a passage of the term statistics and of the decomposition.
@@ -290,6 +290,7 @@ def _merged(hits: Column) -> Column:
 def searches(docs: DataFrame, benchmark: DataFrame, *, id_col: str | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> Iterator:
     """For each block of items (ids, hits): a table of doc_id and numbered text, with the ids of id_col, and a function
     from a column, of texts or of numbered texts, to its hits: array<struct<item_id, common, cosine, first, last>>."""
+    text_batches(docs.sparkSession)
     kind = benchmark.schema[item_id].dataType.simpleString()
     item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     for items in _blocks(benchmark, item_id, item_text, answer_col):

@@ -9,7 +9,7 @@ from .common import WORD, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of one class that are ranked in one task.
-ROWS_PER_CELL = 20_000
+ROWS_PER_CELL = 5_000
 #: Rounds that shrink what rounding leaves; each at least halves it.
 FIXES = 8
 
@@ -53,7 +53,7 @@ def rates(classes: DataFrame, goals: DataFrame, cap: float = 2.0, tolerance: flo
     which keeps it from overshooting into the cap and is a plain Newton step near the solution. Each is one grouped
     aggregation over the classes (documents of equal source and size count as one row, with their number), and a closed
     2 x 2 solution per source.
-    A source that wants all of cap has no interior solution: its rate is cap.
+    A source that wants all of cap has no interior solution: its rate is cap. Fails if the steps don't converge.
     """
     x = F.coalesce(F.try_divide("size", "mean"), F.lit(0.0))
     r = F.least(F.lit(cap), F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0))))
@@ -80,6 +80,8 @@ def rates(classes: DataFrame, goals: DataFrame, cap: float = 2.0, tolerance: flo
         state = state.join(steps, "src", "left").select(
             "src", "part", "mean", "docs", (F.col("a") - F.coalesce("da", F.lit(0.0))).alias("a"), (F.col("b") - F.coalesce("db", F.lit(0.0))).alias("b"), F.coalesce("now", F.lit(0.0)).alias("off"),
         )
+    else:
+        raise RuntimeError(f"the dual has not converged in {most_steps} steps")
     rate = F.when(F.col("part") >= cap * (1 - 1e-12), F.lit(cap)).when(F.col("part") > 0, r).otherwise(F.lit(0.0))
     return classes.join(state, "src").select("src", "size", "n", rate.alias("rate"))
 

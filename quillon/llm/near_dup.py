@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, labelled, mix, shingles, staged
+from .common import components, labelled, mix, shingles, staged, text_batches
 
 #: Words of a shingle, and the least similarity of a link: words that an alignment matches, over all of both texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids, each of which stands for itself, come last. Repeated rows share a class; all rows of the smallest id are marked
     as kept. Empty table: no rows. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = staged(rows.mapInArrow(_sketches, f"doc_id {kind}, digest binary, n long, sketch array<int>"), "sketches")
