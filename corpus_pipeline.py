@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES from documents to shards, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: STAGES from documents to shards, each written as Parquet and read again as the next one's docs.
+
+Null and empty texts are clean, no copies of anything and of size 0 for the mix, which takes whole documents only, so
+that they may be taken or left; rows with null ids or sources are rows like others. Of repeated rows one is left by the
+second stage (null texts all stay). An empty table gives no rows in any stage. Extra columns are carried along.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, N_SHARDS)
+    """Every document with all its columns and its shard; copies that the mix made are together, as are equal texts."""
+    return sharding.sharded(docs, N_SHARDS)
 
 
 def _stage(f):
