@@ -11,6 +11,8 @@ class TsqlError(Exception):
     def __init__(self, number: int, message: str, severity: int = 16, state: int = 1) -> None:
         super().__init__(message)
         self.number, self.message, self.severity, self.state = number, message, severity, state
+        self.raised = False  # by RAISERROR, after which a batch goes on
+        self.kept = False  # what the batch answered before stays
 
     def __str__(self) -> str:
         return f"Msg {self.number}: {self.message}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 from .convert import literal, null
-from .kinds import BINARY, INT, TEXT, Ex
+from .kinds import BINARY, INT, TEXT, Ex, quoted
 
 VERSION = "Microsoft SQL Server 2022 (RTM) - 16.0.1000.6 compatible analytics engine"
 COLLATION = "SQL_Latin1_General_CP1_CI_AS"
@@ -57,6 +57,11 @@ def _last(value) -> str:
 
 
 def _object_id(session, args: list[Ex]) -> Ex:
+    if args and not args[0].constant:
+        from .scalar import plain  # of a column: the names that are known, as a CASE
+
+        last = f"lower(regexp_replace(substring_index({plain(args[0])}, '.', -1), {quoted(r'[\[\]]')}, ''))"
+        return Ex(f"CASE {last} " + " ".join(f"WHEN {quoted(n.lower())} THEN {object_id(n)}" for n in session.names()) + " END", INT) if session.names() else null(INT)
     name = _last(args[0].value) if args and args[0].value is not None else ""
     return literal(object_id(name)) if session.knows(name) else null(INT)
 
@@ -82,6 +87,6 @@ CONTEXT = {
 
 VARIABLES = {
     "@@VERSION": lambda s: VERSION, "@@SERVERNAME": lambda s: "localhost", "@@SPID": lambda s: s.spid, "@@LANGUAGE": lambda s: "us_english", "@@MAX_PRECISION": lambda s: 38,
-    "@@MICROSOFTVERSION": lambda s: 268436456, "@@NESTLEVEL": lambda s: 0, "@@ROWCOUNT": lambda s: s.row_count, "@@TRANCOUNT": lambda s: s.tran_count, "@@OPTIONS": lambda s: 5432, "@@ERROR": lambda s: s.last_error,
+    "@@MICROSOFTVERSION": lambda s: 268436456, "@@NESTLEVEL": lambda s: s.nest_level, "@@ROWCOUNT": lambda s: s.row_count, "@@TRANCOUNT": lambda s: s.tran_count, "@@OPTIONS": lambda s: 5432, "@@ERROR": lambda s: s.last_error,
     "@@FETCH_STATUS": lambda s: 0, "@@IDENTITY": lambda s: None,
 }

@@ -75,10 +75,32 @@ def like(e: Ex, pattern: Ex, escape: Ex | None) -> str:
         if not esc and p.startswith("%") and p.endswith("%") and len(p) > 2 and not set(p[1:-1]) & set("%_["):
             return f"contains(lower({value}), {quoted(p[1:-1].lower())})"
         return f"({value} RLIKE {quoted('(?isu)^' + _regex_of(p, esc) + chr(92) + 'z')})"
-    # A pattern in a column: blanks, percent signs and underscores are translated by the engine; sets by a bracket as it is.
-    p = binary(text(pattern))
-    steps = f"regexp_replace({p}, '([.^$*+?(){{}}|\\\\\\\\/])', '\\\\\\\\$1')"
-    return f"({value} RLIKE concat('(?isu)^', replace(replace({steps}, '%', '.*'), '_', '.'), '\\\\z'))"
+    mark = None if escape is None else binary(text(escape))
+    if mark is not None:
+        bad = fail(506, "The invalid escape character was specified in a LIKE predicate.", "STRING")
+        mark = f"CASE WHEN length({mark}) <> 1 THEN {bad} ELSE {mark} END"
+    return f"({value} RLIKE concat('(?isu)^', {_regex_sql(binary(text(pattern)), mark)}, {quoted(chr(92) + 'z')}))"
+
+
+#: The tokens of a pattern, behind an escaped character: a set that is closed, or any character.
+_TOKENS = r"\[\^[^\]]*\]|\[\][^\]]*\]|\[[^\]^][^\]]*\]|."
+
+
+def _regex_sql(pattern: str, escape: str | None = None) -> str:
+    """SQL that makes a regular expression of a pattern that differs by row: as _regex_of() does for one that is known."""
+    quote = lambda c: f"regexp_replace({c}, {quoted(r'([^A-Za-z0-9_ ])')}, {quoted(r'\\$1')})"
+    body, inner = f"substring(t, 2, length(t) - 2)", "substring(t, 3, length(t) - 3)"  # noqa: F541
+    members = lambda b: f"regexp_replace(regexp_replace({b}, {quoted(r'([\[\]^&~\\])')}, {quoted(r'\\$1')}), {quoted('^-|-$')}, {quoted(r'\\-')})"
+    tokens = quoted(f"(?s)(?:{_TOKENS})")
+    first = ""
+    if escape is not None:
+        tokens = f"concat({quoted('(?s)(?:' + chr(92) + 'Q')}, {escape}, {quoted(chr(92) + 'E.|' + _TOKENS + ')')})"
+        first = f"WHEN length(t) = 2 AND startswith(t, {escape}) THEN {quote('substring(t, 2)')} "
+    one = (
+        f"CASE {first}WHEN t = '%' THEN '.*' WHEN t = '_' THEN '.' WHEN t = '[^]' THEN '(?!)' WHEN length(t) > 1 AND startswith(t, '[^') THEN concat('[^', {members(inner)}, ']') "
+        f"WHEN length(t) > 1 THEN concat('[', {members(body)}, ']') ELSE {quote('t')} END"
+    )
+    return f"array_join(transform(regexp_extract_all({pattern}, {tokens}, 0), t -> {one}), '')"
 
 
 def _trim(args: list[Ex], side: str) -> Ex:
@@ -110,7 +132,10 @@ def _patindex(args: list[Ex]) -> Ex:
     if args[1].kind.name == "datetime":
         raise TsqlError(8116, "Argument data type datetime is invalid for argument 2 of patindex function.")
     if not args[0].constant:
-        raise TsqlError(50000, "PATINDEX with a pattern that isn't a literal is not supported.")
+        p, v = plain(args[0]), plain(args[1])
+        inner = f"regexp_replace(regexp_replace({p}, '^%', ''), '%$', '')"
+        rx = f"concat('(?isu)', CASE WHEN startswith({p}, '%') THEN '' ELSE '^' END, {_regex_sql(inner)}, CASE WHEN endswith({p}, '%') THEN '' ELSE {quoted(chr(92) + 'z')} END)"
+        return Ex(f"CASE WHEN {p} IS NULL OR {v} IS NULL THEN NULL WHEN {inner} = '' THEN 1 ELSE regexp_instr({v}, {rx}) END", INT)
     p = str(args[0].value)
     floats, open_ = p.startswith("%"), p.endswith("%")
     inner = p[1:] if floats else p
