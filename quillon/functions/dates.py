@@ -59,11 +59,30 @@ def literal(moment: datetime) -> str:
 
 
 def of_text(sql: str, safe: bool) -> str:
-    """Text to a moment: ISO forms by a cast, others by their patterns; anything else fails, or is null if safe."""
-    forms = ("yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy h:mma", "yyyyMMdd H:m:s")
-    tries = ", ".join(f"CAST(try_to_timestamp({sql}, {quoted(f)}) AS TIMESTAMP_NTZ)" for f in forms)
+    """Text of a column to a moment, by the same forms as parse(); anything else fails, or is null if safe."""
+    t = f"trim({sql})"
+
+    def moment(form: re.Pattern, y: str, m: str, d: str, clock: int) -> str:
+        group = lambda k: f"regexp_extract({t}, {quoted('(?i)^(?:' + form.pattern + ')$')}, {k})"
+        number = lambda k, other: f"CAST(coalesce(nullif({group(k)}, ''), '{other}') AS INT)"
+        y, m, d = (number(x, "0") if isinstance(x, int) else x for x in (y, m, d))
+        half, hour = f"lower({group(clock + 4)})", number(clock, "0")
+        hour = f"CASE WHEN {half} = '' THEN {hour} WHEN {hour} BETWEEN 1 AND 12 THEN {hour} % 12 + CASE {half} WHEN 'pm' THEN 12 ELSE 0 END ELSE 99 END"
+        second = f"CAST(concat({number(clock + 2, '0')}, '.', substring(rpad({group(clock + 3)}, 6, '0'), 1, 6)) AS DECIMAL(16, 6))"
+        return f"try_make_timestamp_ntz({y}, {m}, {d}, {hour}, {number(clock + 1, '0')}, {second})"
+
+    whens = []
+    for form, (y, m, d) in _forms:
+        fits = f"{t} RLIKE {quoted('(?i)^(?:' + form.pattern + ')$')}"
+        if "[a-z]" in form.pattern:
+            own = f"lower(substring(regexp_extract({t}, {quoted('(?i)^(?:' + form.pattern + ')$')}, {m}), 1, 3))"
+            m = f"array_position(array({', '.join(map(quoted, MONTHS))}), {own})"
+            m = f"CAST({m} AS INT)"
+        whens.append(f"WHEN {fits} THEN {moment(form, y, m, d, 4)}")
+    clock = quoted("(?i)^(?:" + _only_time.pattern + ")$")
+    whens.append(f"WHEN {t} RLIKE {clock} AND concat(regexp_extract({t}, {clock}, 2), regexp_extract({t}, {clock}, 5)) <> '' THEN {moment(_only_time, '1900', '1', '1', 1)}")
     last = "" if safe else ", CAST(raise_error('#241#Conversion failed when converting date and/or time from character string.#') AS TIMESTAMP_NTZ)"
-    return f"CASE WHEN {sql} IS NULL THEN CAST(NULL AS TIMESTAMP_NTZ) WHEN trim({sql}) = '' THEN {EPOCH} ELSE coalesce(try_cast(trim({sql}) AS TIMESTAMP_NTZ), {tries}{last}) END"
+    return f"CASE WHEN {sql} IS NULL THEN CAST(NULL AS TIMESTAMP_NTZ) WHEN {t} = '' THEN {EPOCH} ELSE coalesce(CASE {' '.join(whens)} END{last}) END"
 
 
 def of_days(sql: str) -> str:

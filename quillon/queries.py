@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import zipfile
 from collections.abc import Callable
+from functools import lru_cache
 from io import BytesIO
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
 from .engine import Engine, Session
-from .sources import files, infer, shapes
+from .errors import from_spark
+from .sources import files, infer, served, shapes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+@lru_cache(8)
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """One engine for a folder, like that of a server that goes on; its tables are looked at when a statement names them."""
     return Engine(spark).register_parquet(sf_dir, list(TABLES))
 
 
@@ -94,6 +98,43 @@ SQL: dict[str, tuple[str, str]] = {
     "cast_text": ("SELECT p_partkey, CAST(p_size AS varchar(1)) AS one, CAST(p_name AS char(6)) AS padded, CAST(p_partkey AS nvarchar(20)) AS k FROM part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN CAST(p_size AS VARCHAR) ELSE '*' END AS one, rpad(left(p_name, 6), 6, ' ') AS padded, CAST(p_partkey AS VARCHAR) AS k FROM part"),
     "isnull_coalesce": ("SELECT p_partkey, ISNULL(NULLIF(p_size, 10), -1) AS i, COALESCE(NULLIF(p_size, 10), NULLIF(p_size, 11), 0) AS c, GREATEST(p_size, 25) AS g, LEAST(p_size, 25) AS l FROM part", "SELECT p_partkey, coalesce(NULLIF(p_size, 10), -1) AS i, coalesce(NULLIF(p_size, 10), NULLIF(p_size, 11), 0) AS c, greatest(p_size, 25) AS g, least(p_size, 25) AS l FROM part"),
     "pricing_summary": ("SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, ROUND(SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, ROUND(AVG(l_discount), 6) AS disc, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, round(avg(l_discount), 6) AS disc, CAST(count(*) AS INT) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
+    "agg_count_big": ("SELECT o_orderstatus, COUNT_BIG(*) AS n, COUNT_BIG(DISTINCT o_custkey) AS d FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS d FROM orders GROUP BY 1"),
+    "agg_all": ("SELECT p_brand, SUM(ALL p_size) AS s, COUNT(ALL NULLIF(p_size, 10)) AS n, MAX(ALL p_type) AS m FROM part GROUP BY p_brand", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS s, CAST(count(NULLIF(p_size, 10)) AS INT) AS n, max(p_type) AS m FROM part GROUP BY 1"),
+    "agg_in_expr": ("SELECT p_brand, MAX(p_size) - MIN(p_size) + COUNT(*) * 2 AS x, CASE WHEN AVG(p_size) > 25 THEN 'big' ELSE 'small' END AS b, IIF(COUNT(*) > 1, SUM(p_size) % 7, -1) AS m FROM part GROUP BY p_brand", "SELECT p_brand, CAST(max(p_size) - min(p_size) + count(*) * 2 AS BIGINT) AS x, CASE WHEN sum(p_size) // count(p_size) > 25 THEN 'big' ELSE 'small' END AS b, CAST(CASE WHEN count(*) > 1 THEN sum(p_size) % 7 ELSE -1 END AS BIGINT) AS m FROM part GROUP BY 1"),
+    "agg_distinct_text": ("SELECT o_orderpriority, COUNT(DISTINCT UPPER(o_orderstatus)) AS d, SUM(o_custkey) AS s, MIN(DISTINCT o_orderstatus) AS m FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(count(DISTINCT upper(o_orderstatus)) AS INT) AS d, CAST(sum(o_custkey) AS BIGINT) AS s, min(o_orderstatus) AS m FROM orders GROUP BY 1"),
+    "group_spelling": ("SELECT t, COUNT(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN LOWER(o_orderpriority) WHEN 1 THEN o_orderpriority + ' ' ELSE o_orderpriority END AS t FROM orders) d GROUP BY t", "SELECT o_orderpriority AS t, CAST(count(*) AS INT) AS n FROM orders GROUP BY 1"),
+    "distinct_spelling": ("SELECT DISTINCT t FROM (SELECT TOP 1 WITH TIES n_name AS t FROM nation ORDER BY 1 - n_regionkey / 9) d", "SELECT DISTINCT n_name AS t FROM nation"),
+    "win_subquery_arg": ("SELECT n_nationkey, NTILE((SELECT COUNT(*) FROM region)) OVER (ORDER BY n_nationkey) AS t, LAG(n_nationkey, (SELECT MIN(r_regionkey) + 2 FROM region)) OVER (ORDER BY n_nationkey) AS l FROM nation", "SELECT n_nationkey, ntile(5) OVER (ORDER BY n_nationkey) AS t, lag(n_nationkey, 2) OVER (ORDER BY n_nationkey) AS l FROM nation"),
+    "table_hint": ("SELECT n.n_name, r.r_name FROM nation n WITH (NOLOCK) JOIN region AS r WITH (NOLOCK, INDEX(1)) ON r.r_regionkey = n.n_regionkey OPTION (RECOMPILE)", "SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey"),
+    "set_order": ("SELECT n_nationkey AS k, n_name AS t FROM nation UNION ALL SELECT 99, 'last' UNION SELECT r_regionkey, r_name FROM region ORDER BY k DESC, 2 OFFSET 1 ROWS FETCH NEXT 9 ROWS ONLY", "SELECT * FROM (SELECT n_nationkey AS k, n_name AS t FROM nation UNION SELECT 99, 'last' UNION SELECT r_regionkey, r_name FROM region) ORDER BY k DESC, t LIMIT 9 OFFSET 1"),
+    "pred_cond_ctx": ("SELECT p_partkey, IIF(p_size > 10 AND NOT p_size = 20 OR p_brand LIKE '%3', 1, 0) AS a, CASE WHEN NOT (p_size BETWEEN 5 AND 9) THEN 'out' ELSE 'in' END AS b FROM part WHERE NOT (p_size IN (1, 2)) AND (p_name IS NOT NULL)", "SELECT p_partkey, CASE WHEN p_size > 10 AND NOT p_size = 20 OR p_brand LIKE '%3' THEN 1 ELSE 0 END AS a, CASE WHEN NOT (p_size BETWEEN 5 AND 9) THEN 'out' ELSE 'in' END AS b FROM part WHERE p_size NOT IN (1, 2)"),
+    "sub_two_levels": ("SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_extendedprice > 10 * c.c_acctbal AND l.l_quantity > 40))", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_extendedprice > 10 * c_acctbal AND l_quantity > 40"),
+    "sub_two_levels_count": ("SELECT n.n_nationkey, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_custkey IN (SELECT o.o_custkey FROM orders o WHERE o.o_custkey % 25 = n.n_nationkey)) AS n FROM nation n", "SELECT n_nationkey, CAST(count(c_custkey) AS INT) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 25 = n_nationkey AND c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1"),
+    "like_column": ("SELECT p.p_partkey, d.k FROM part p JOIN (VALUES (1, '%[aeiou]r%', '!'), (2, '[^A-M]%', '!'), (3, 'a!%%', '!'), (4, '_o%', '~')) d(k, pat, esc) ON p.p_name LIKE d.pat ESCAPE d.esc", "SELECT p_partkey, k FROM part JOIN (VALUES (1, '.*[aeiou]r.*'), (2, '[^A-M].*'), (3, 'a%.*'), (4, '.o.*')) d(k, rx) ON regexp_full_match(p_name, rx, 'is')"),
+    "patindex_column": ("SELECT p.p_partkey, d.k, PATINDEX(d.pat, p.p_name) AS i FROM part p CROSS JOIN (VALUES (1, '%[aeiou]%'), (2, '%an%')) d(k, pat)", "SELECT p_partkey, k, CAST(CASE k WHEN 1 THEN CASE WHEN regexp_matches(p_name, '[aeiou]', 'i') THEN length(regexp_extract(p_name, '^([^aeiou]*)[aeiou]', 1, 'i')) + 1 ELSE 0 END ELSE instr(lower(p_name), 'an') END AS INT) AS i FROM part CROSS JOIN (VALUES (1), (2)) d(k)"),
+    "agg_string_sep": ("SELECT n_regionkey, STRING_AGG(LOWER(n_name) + '!', CHAR(43) + ' ') WITHIN GROUP (ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(lower(n_name) || '!', '+ ' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY 1"),
+    "cte_shared": ("WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT x.k, x.n + y.n AS n FROM a x JOIN a y ON y.k = x.k), c AS (SELECT x.k, x.n + y.n AS n FROM b x JOIN b y ON y.k = x.k) SELECT k, n FROM c WHERE n > (SELECT AVG(n) FROM c)", "WITH a AS (SELECT o_custkey AS k, 4 * count(*) AS n FROM orders GROUP BY 1) SELECT k, n FROM a WHERE n > (SELECT sum(n) // count(*) FROM a)"),
+    "fn_lengths": ("SELECT n_nationkey, DATALENGTH(n_name + ' ') AS d, LEN(n_name + '  ') AS l, SPACE(2) + n_name AS sp, LTRIM('  ' + n_name) AS lt, RTRIM(n_name + ' ') + '|' AS rt, TRIM(' ' + n_name + ' ') AS tr, TRIM('AI' FROM n_name) AS tx, LOWER(n_name) AS lo FROM nation", "SELECT n_nationkey, CAST(length(n_name) + 1 AS INT) AS d, CAST(length(n_name) AS INT) AS l, '  ' || n_name AS sp, n_name AS lt, n_name || '|' AS rt, n_name AS tr, trim(n_name, 'AIai') AS tx, lower(n_name) AS lo FROM nation"),
+    "fn_concat_ws": ("SELECT p_partkey, CONCAT_WS('-', p_brand, NULLIF(p_size, 10), p_type) AS c FROM part", "SELECT p_partkey, concat_ws('-', p_brand, CAST(NULLIF(p_size, 10) AS VARCHAR), p_type) AS c FROM part"),
+    "fn_exp_log": ("SELECT p_partkey, ROUND(EXP(p_size / 20.0), 4) AS e, ROUND(LOG(p_retailprice), 4) AS ln, ROUND(LOG(p_retailprice, 2), 4) AS l2 FROM part", "SELECT p_partkey, round(exp(p_size / 20.0), 4) AS e, round(ln(p_retailprice), 4) AS ln, round(ln(p_retailprice) / ln(2), 4) AS l2 FROM part"),
+    "fn_chars": ("SELECT p_partkey, ASCII(p_name) AS a, UNICODE(p_type) AS u, CHAR(65 + p_size % 26) AS c, NCHAR(960 + p_size % 10) AS g, TRANSLATE(p_type, 'AEI', '123') AS t, STR(p_size) AS s FROM part", "SELECT p_partkey, CAST(ascii(p_name) AS INT) AS a, CAST(unicode(p_type) AS INT) AS u, chr(65 + p_size % 26) AS c, chr(960 + p_size % 10) AS g, translate(p_type, 'AEI', '123') AS t, CAST(p_size AS VARCHAR) AS s FROM part"),
+    "fn_properties": ("SELECT FULLTEXTSERVICEPROPERTY('IsFullTextInstalled') AS f, CONNECTIONPROPERTY('net_transport') AS c, COLLATIONPROPERTY('SQL_Latin1_General_CP1_CI_AS', 'LCID') AS l, DATABASEPROPERTYEX('master', 'Status') AS s, SERVERPROPERTY('EngineEdition') AS e", "SELECT 0 AS f, 'TCP' AS c, 1033 AS l, 'ONLINE' AS s, 3 AS e"),
+    "ctx_now": ("SELECT n_nationkey, DATEDIFF(minute, GETDATE(), SYSDATETIME()) AS m, IIF(GETUTCDATE() > '2020-01-01', 1, 0) AS later, DATEDIFF(day, CURRENT_TIMESTAMP, SYSUTCDATETIME()) AS d FROM nation", "SELECT n_nationkey, 0 AS m, 1 AS later, 0 AS d FROM nation"),
+    "ctx_object": ("SELECT t.name, IIF(OBJECT_ID(t.name) = t.object_id, 1, 0) AS same, OBJECT_ID(t.name + 'x') AS none, IIF(OBJECT_ID('dbo.[Nation]') > 0, 1, 0) AS known, OBJECTPROPERTY(OBJECT_ID('nation'), 'IsTable') AS tab FROM sys.tables t", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events']) AS name, 1 AS same, CAST(NULL AS INT) AS none, 1 AS known, 1 AS tab"),
+    "ctx_perm": ("SELECT IS_SRVROLEMEMBER('sysadmin') AS a, IS_MEMBER('db_owner') AS b, HAS_PERMS_BY_NAME('nation', 'OBJECT', 'SELECT') AS c, HAS_DBACCESS('master') AS d, PERMISSIONS() AS e", "SELECT 0 AS a, 0 AS b, 0 AS c, 1 AS d, 0 AS e"),
+    "ctx_sid": ("SELECT IIF(SUSER_SID() IS NULL, 1, 0) AS s, SUSER_ID() AS i, SUSER_SNAME() AS n, USER_ID() AS u, ORIGINAL_LOGIN() AS o", "SELECT 1 AS s, CAST(NULL AS INT) AS i, 'sa' AS n, 1 AS u, 'sa' AS o"),
+    "ctx_misc": ("SELECT @@LANGUAGE AS l, @@NESTLEVEL AS n, @@FETCH_STATUS AS f, @@SERVERNAME AS s, HOST_NAME() AS h, DB_ID() AS d, fn_syspolicy_is_automation_enabled() AS p, IIF(@@SPID > 50, 1, 0) AS id", "SELECT 'us_english' AS l, 0 AS n, 0 AS f, 'localhost' AS s, 'localhost' AS h, 1 AS d, 0 AS p, 1 AS id"),
+    "cast_bit": ("SELECT p_partkey, CAST(p_size - 10 AS bit) AS b, CAST(CASE p_size % 2 WHEN 0 THEN 'FALSE' ELSE '1' END AS bit) AS m, TRY_CAST(p_name AS bit) AS x FROM part", "SELECT p_partkey, p_size <> 10 AS b, p_size % 2 = 1 AS m, CAST(NULL AS BOOLEAN) AS x FROM part"),
+    "cast_decimal": ("SELECT p_partkey, CAST(p_retailprice AS decimal(12, 1)) AS d, CAST(p_size AS numeric(5)) AS n, TRY_CAST(p_retailprice * 100000 AS decimal(5, 2)) AS o, CAST(CAST(p_retailprice AS decimal(9, 3)) AS varchar(20)) AS t FROM part", "SELECT p_partkey, CAST(CAST(CAST(p_retailprice AS DECIMAL(18, 6)) AS DECIMAL(12, 1)) AS DOUBLE) AS d, CAST(p_size AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS o, CAST(CAST(p_retailprice AS DECIMAL(18, 3)) AS VARCHAR) AS t FROM part"),
+    "cast_money": ("SELECT p_partkey, CAST(p_retailprice / 8 AS money) AS m, CAST(CAST(p_retailprice AS money) AS varchar(30)) AS t, TRY_CAST(p_retailprice * 1000 AS smallmoney) AS o FROM part", "SELECT p_partkey, CAST(CAST(CAST(p_retailprice / 8 AS DECIMAL(18, 10)) AS DECIMAL(18, 4)) AS DOUBLE) AS m, CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR) AS t, CASE WHEN p_retailprice * 1000 < 214748.3647 THEN CAST(CAST(p_retailprice * 1000 AS DECIMAL(18, 4)) AS DOUBLE) END AS o FROM part"),
+    "cast_datetime": ("SELECT o_orderkey, CAST(t AS datetime) AS d, TRY_CAST(t + 'x' AS datetime) AS n, CAST('9:05 pm' + LEFT(t, 0) AS datetime) AS c FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CONVERT(varchar(30), o_orderdate, 120) WHEN 1 THEN CONVERT(varchar(30), o_orderdate, 101) WHEN 2 THEN CONVERT(varchar(30), o_orderdate, 112) WHEN 3 THEN CONVERT(varchar(30), o_orderdate, 106) WHEN 4 THEN CAST(o_orderdate AS varchar(30)) ELSE CONVERT(varchar(30), o_orderdate, 126) END AS t FROM orders) d", "SELECT o_orderkey, o_orderdate AS d, CAST(NULL AS TIMESTAMP) AS n, TIMESTAMP '1900-01-01 21:05:00' AS c FROM orders"),
+    "cast_from_datetime": ("SELECT o_orderkey, CAST(o_orderdate AS float) AS f, CAST(o_orderdate AS int) AS i, CAST(o_orderdate AS varchar(30)) AS t, CAST(o_orderdate AS date) AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('day', TIMESTAMP '1900-01-01', o_orderdate) AS DOUBLE) AS f, CAST(date_diff('day', TIMESTAMP '1900-01-01', o_orderdate) AS INT) AS i, strftime(o_orderdate, '%b ') || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, ' ') || strftime(o_orderdate, ' %Y 12:00AM') AS t, o_orderdate AS d FROM orders"),
+    "blank_number": ("SELECT n_nationkey + CAST(' ' AS int) AS a, n_nationkey + LEFT(n_name, 0) AS b, IIF('' = 0, 1, 0) AS z FROM nation WHERE n_nationkey <> ''", "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b, 1 AS z FROM nation WHERE n_nationkey <> 0"),
+    "bit_text": ("SELECT p_partkey FROM part WHERE CAST(p_size - 10 AS bit) = 'false' OR CAST(p_size - 11 AS bit) = '0'", "SELECT p_partkey FROM part WHERE p_size IN (10, 11)"),
+    "headings": ("SELECT n_nationkey AS [the key], n_name AS \"it's\", n_regionkey 'third' FROM nation", "SELECT n_nationkey AS \"the key\", n_name AS \"it's\", n_regionkey AS third FROM nation"),
+    "meta_is_empty": ("SELECT (SELECT COUNT(*) FROM INFORMATION_SCHEMA.VIEWS) + (SELECT COUNT(*) FROM INFORMATION_SCHEMA.ROUTINES) + (SELECT COUNT(*) FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS) + (SELECT COUNT(*) FROM sys.foreign_keys) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
+    "meta_schemata": ("SELECT CATALOG_NAME AS c, SCHEMA_NAME AS s FROM INFORMATION_SCHEMA.SCHEMATA WHERE SCHEMA_NAME = 'dbo'", "SELECT 'master' AS c, 'dbo' AS s"),
+    "meta_dbo": ("SELECT o.name AS t, u.name AS u FROM dbo.sysobjects o CROSS JOIN dbo.sysusers u WHERE o.name LIKE '%ion'", "SELECT unnest(['region', 'nation']) AS t, 'dbo' AS u"),
 }
 
 #: Batches whose last result is the answer.
@@ -107,7 +148,12 @@ BATCHES: dict[str, tuple[str, str | None]] = {
     "info_schema_tables": ("SELECT TABLE_NAME AS t FROM INFORMATION_SCHEMA.TABLES", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events']) AS t"),
     "info_schema_columns": ("SELECT COLUMN_NAME AS c, DATA_TYPE AS d, ORDINAL_POSITION AS p FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = 'nation'", "SELECT * FROM (VALUES ('n_nationkey', 'int', 1), ('n_name', 'nvarchar', 2), ('n_regionkey', 'int', 3)) v(c, d, p)"),
     "sys_tables": ("SELECT t.name AS t, COUNT(*) AS n FROM sys.tables t JOIN sys.columns c ON c.object_id = t.object_id WHERE t.name IN ('region', 'nation') GROUP BY t.name", "SELECT 'region' AS t, 2 AS n UNION ALL SELECT 'nation', 3"),
-    "sp_columns": ("EXEC sp_columns @table_name = 'region'", None),
+    "sp_columns": ("CREATE TABLE #c (q nvarchar(128), o nvarchar(128), t nvarchar(128), c nvarchar(128), d int, n nvarchar(128), p int, l int, s int, r int, u int, k nvarchar(254), f nvarchar(4000), sd int, sub int, oct int, pos int, isn nvarchar(254), ss int); INSERT #c EXEC sp_columns @table_name = 'region'; SELECT t, c, n, pos FROM #c", "SELECT * FROM (VALUES ('region', 'r_regionkey', 'int', 1), ('region', 'r_name', 'nvarchar', 2)) v(t, c, n, pos)"),
+    "sp_tables": ("CREATE TABLE #t (q nvarchar(128), o nvarchar(128), t nvarchar(128), k nvarchar(32), r nvarchar(254)); INSERT #t EXEC sp_tables; SELECT o, t, k FROM #t", "SELECT 'dbo' AS o, unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events']) AS t, 'TABLE' AS k"),
+    "assign_row_count": ("DECLARE @a int, @n int; SELECT @a = n_nationkey FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey; SET @n = @@ROWCOUNT; SELECT @a AS a, @n AS n", "SELECT max(n_nationkey) AS a, CAST(count(*) AS INT) AS n FROM nation WHERE n_regionkey = 2"),
+    "assign_fold": ("DECLARE @n int = 0, @s nvarchar(max) = ''; SELECT @n += 1, @s = @s + CASE WHEN @n % 100 = 0 THEN LEFT(c_name, 1) ELSE '' END FROM customer ORDER BY c_custkey; SELECT @n AS n, LEN(@s) AS l, @@ROWCOUNT AS r", "SELECT CAST(count(*) AS INT) AS n, CAST(count(*) // 100 AS INT) AS l, CAST(count(*) AS INT) AS r FROM customer"),
+    "throw_raiserror": ("DECLARE @n int; BEGIN TRY RAISERROR('no %s of %d', 16, 3, 'row', 7) END TRY BEGIN CATCH SET @n = ERROR_STATE(); BEGIN TRY THROW 50007, 'again', 2 END TRY BEGIN CATCH SELECT @n AS s, ERROR_NUMBER() AS n, ERROR_MESSAGE() AS m END CATCH END CATCH", "SELECT 3 AS s, 50007 AS n, 'again' AS m"),
+    "tmp_create_drop": ("CREATE TABLE #a (k int NOT NULL, t nvarchar(20)); INSERT #a SELECT n_nationkey, n_name FROM nation; DROP TABLE #a; CREATE TABLE #a (k bigint, f float); INSERT #a (f, k) SELECT o_totalprice, o_orderkey FROM orders; TRUNCATE TABLE #a; INSERT #a VALUES (1, 2.5), (3, NULL); DROP TABLE IF EXISTS #none; SELECT k, f FROM #a", "SELECT * FROM (VALUES (1::BIGINT, 2.5::DOUBLE), (3, NULL)) v(k, f)"),
     "context_fns": ("SELECT DB_NAME() AS d, SCHEMA_NAME() AS s, SERVERPROPERTY('Collation') AS c, @@MAX_PRECISION AS p, USER_NAME() AS u", "SELECT 'master' AS d, 'dbo' AS s, 'SQL_Latin1_General_CP1_CI_AS' AS c, 38 AS p, 'dbo' AS u"),
 }
 
@@ -124,23 +170,69 @@ def _batch(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _numbers(*batches: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Of batches by their place: how many results each gives, and the numbers of its errors."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, out = engine(spark, sf_dir), []
+        for i, sql in enumerate(batches):
+            a = e.answer(sql, session=Session(e))
+            if not a.errors and a.results:
+                try:
+                    a.results[-1].df.collect()
+                except Exception as x:  # of a row, while it is read
+                    a.errors.append(from_spark(x))
+            out.append((i, len(a.results), ",".join(str(x.number) for x in a.errors)))
+        return spark.createDataFrame(out, "batch int, results int, errors string")
+
+    return run
+
+
+def _rows(*rows: tuple) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({i}, {n}, {chr(39)}{e}{chr(39)})' for i, (n, e) in enumerate(rows))}) v(batch, results, errors)"
+
+
+def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session forgets."""
+    e = engine(spark, sf_dir)
+    s = Session(e)
+    e.answer("SELECT n_nationkey AS k INTO #k FROM nation; BEGIN TRAN; SET XACT_ABORT ON", session=s)
+    before = e.answer("SELECT COUNT(*) AS n FROM #k", session=s).df.first().n
+    s.reset()
+    after = e.answer("SELECT COUNT(*) AS n FROM #k", session=s).errors[0].number
+    return spark.createDataFrame([(before, after, s.tran_count, int(s.xact_abort))], "before int, after int, open int, abort int")
+
+
+#: name: (batches, for each how many results and which errors it gives)
+REFUSALS = {
+    "grouping_sets": (("SELECT n_regionkey FROM nation GROUP BY ROLLUP(n_regionkey)", "SELECT n_regionkey FROM nation GROUP BY CUBE(n_regionkey)", "SELECT n_regionkey FROM nation GROUP BY GROUPING SETS ((n_regionkey), ())"), ((0, "50000"),) * 3),
+    "nested_aggregate": (("SELECT SUM(COUNT(*)) AS n FROM nation GROUP BY n_regionkey", "SELECT AVG(MAX(n_nationkey) + 1) AS n FROM nation", "SELECT n_name FROM nation WHERE COUNT(*) > 1"), ((0, "130"), (0, "130"), (0, "147"))),
+    "set_width": (("SELECT 1 AS a UNION SELECT 1, 2", "SELECT 1 AS a, 2 AS b EXCEPT SELECT 1", "SELECT 1 AS a INTERSECT SELECT 1"), ((0, "205"), (0, "205"), (1, ""))),
+    "cte_refused": (("WITH c(a) AS (SELECT 1 AS x) SELECT a FROM c", "WITH c AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM c) SELECT n FROM c", "WITH c AS (SELECT 1) SELECT * FROM c"), ((0, "50000"), (0, "50000"), (0, "8155"))),
+    "write_refuse": (("INSERT nation VALUES (1, 'x', 1)", "UPDATE nation SET n_name = 'x'", "DELETE FROM nation", "DROP TABLE nation", "CREATE TABLE t (a int)", "TRUNCATE TABLE nation", "SELECT * INTO t FROM nation", "MERGE nation USING region ON 1 = 1"), ((0, "50000"),) * 8),
+    "bat_compile": (("SELECT 1 AS a; SELECT @x AS b", "SELECT 1 AS a; SELECT 2 AS", "SELECT 1 AS a; BREAK", "DECLARE @x int = 3; SELECT @x AS b; SELECT 4 AS c"), ((0, "137"), (0, "102"), (0, "135"), (2, ""))),
+    "goes_on": (("SELECT 1 / 0 AS a; SELECT 2 AS b", "SET XACT_ABORT ON; SELECT 1 AS a; SELECT 1 / 0 AS b; SELECT 2 AS c", "SELECT 1 AS a; SELECT CAST('x' AS int) AS b; SELECT 2 AS c", "SELECT 1 AS a; SELECT nope FROM nation; SELECT 2 AS c", "EXEC('SELECT * FROM nope'); SELECT 2 AS c", "RAISERROR('x', 16, 1); SELECT 1 AS a", "THROW 50001, 'x', 1; SELECT 1 AS a", "COMMIT; DROP TABLE #none; EXEC nope; SELECT 1 AS a"), ((2, "8134"), (2, "8134"), (2, "245"), (0, "207"), (1, "208"), (1, "50000"), (0, "50001"), (1, "3902,3701,2812"))),
+    "run_time_errors": (("SELECT CAST('a' AS float) AS x", "SELECT CAST('a' AS datetime) AS x", "SELECT CAST(300 AS tinyint) AS x", "SELECT LOG(-1) AS x", "SELECT DATEADD(year, 9000, '2024-01-01') AS x", "SELECT TRANSLATE('a', 'ab', 'c') AS x", "SELECT SUBSTRING('a', 1, -1) AS x", "SELECT (SELECT n_nationkey FROM nation) AS x"), ((1, "8114"), (1, "241"), (1, "220"), (1, "3623"), (1, "517"), (1, "9828"), (1, "536"), (1, "512"))),
+}
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).query(FLAGSHIP)
 
 
 def _json_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    carts = [{"id": i, "who": {"name": f"n{i}"}, "products": [{"sku": f"s{i}{k}", "stars": [1, k]} for k in range(i)]} for i in range(1, 5)]
+    walks = [{"id": i, "guide": {"name": f"n{i}"}, "stops": [{"at": f"s{i}{k}", "marks": [1, k]} for k in range(i)]} for i in range(1, 5)]
     e = Engine(spark)
-    for n, df in shapes.tables(spark, {"results": carts}, name="carts", expand=True).items():
-        e.register(n or "carts", df)
-    return e.query("SELECT c.id, [who.name] AS who, p.products_index AS place, p.sku FROM carts c LEFT JOIN carts_products p ON p.carts_id = c.id")
+    for n, df in shapes.tables(spark, {"results": walks}, name="walks", expand=True).items():
+        e.register(n or "walks", df)
+    return e.query("SELECT w.id, [guide.name] AS who, s.stops_index AS place, s.at FROM walks w LEFT JOIN walks_stops s ON s.walks_id = w.id")
 
 
 def _locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)
-    e.register("rates", shapes.tables(spark, {"USD": 1.0, "EUR": 0.9, "GBP": 0.8})[""])
-    e.register("cols", shapes.tables(spark, {"id": [1, 2, 3], "name": ["a", "b", "c"]})[""])
-    return e.query("SELECT r.[key] AS k, r.value AS v, c.name AS n FROM rates r CROSS JOIN cols c")
+    e.register("trees", shapes.tables(spark, {"oak": 41.5, "elm": 27.0, "ash": 19.25})[""])
+    e.register("days", shapes.tables(spark, {"lat": [52, 48, 60], "sky": ["fog", "sun", "hail"]})[""])
+    return e.query("SELECT t.[key] AS k, t.value AS v, d.sky AS n FROM trees t CROSS JOIN days d")
 
 
 def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,39 +271,26 @@ def example_workbook() -> bytes:
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
-    import tempfile
-
-    path = os.path.join(tempfile.mkdtemp(), "people.csv")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('id,name,score,code\n1,"a, b",78,007\n2,,99.5,010\n3,c,,100\n')
-    df = spark.createDataFrame(files_rows(path), "id string, name string, score string, code string")
+    """A file of the shared folder, read by the executors."""
+    lines = ["id,name,score,code", '1,"a, b",78,007', "2,,99.5,010", "3,c,,100"]
+    path = store.write_lines(spark, lines)
     e = Engine(spark)
-    e.register("people", infer.typed(df))
+    e.register("people", files.csv(spark, path))
     return e.query("SELECT id + 1 AS id, name, score, code FROM people")
 
 
-def files_rows(path: str) -> list[tuple]:
-    import csv
-
-    with open(path, encoding="utf-8") as f:
-        return [tuple(v or None for v in r) for r in list(csv.reader(f))[1:]]
-
-
-def _events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [json.loads(r.props) for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("props").limit(50).collect()]
-    e = Engine(spark)
-    e.register("props", infer.from_records(spark, [shapes.flattened(r) for r in rows]))
-    return e.query("SELECT COUNT(*) AS n FROM props")
-
-
 SOURCES = {"src_json_nest": _json_nest, "src_locate": _locate, "src_xml": _xml, "src_html": _html, "src_xlsx": _xlsx, "src_csv_infer": _csv}
 SOURCES_SQL = {
-    "src_json_nest": "SELECT CAST(i AS INT) AS id, 'n' || i AS who, CAST(k AS INT) AS place, 's' || i || k AS sku FROM range(1, 5) a(i), range(0, 4) b(k) WHERE k < i",
-    "src_locate": "SELECT k, v, n FROM (VALUES ('USD', 1.0::DOUBLE), ('EUR', 0.9), ('GBP', 0.8)) a(k, v), (VALUES ('a'), ('b'), ('c')) b(n)",
+    "src_json_nest": "SELECT CAST(i AS INT) AS id, 'n' || i AS who, CAST(k AS INT) AS place, 's' || i || k AS at FROM range(1, 5) a(i), range(0, 4) b(k) WHERE k < i",
+    "src_locate": "SELECT k, v, n FROM (VALUES ('oak', 41.5::DOUBLE), ('elm', 27.0), ('ash', 19.25)) a(k, v), (VALUES ('fog'), ('sun'), ('hail')) b(n)",
     "src_xml": "SELECT CAST(i AS VARCHAR) AS id, 'n' || i AS name, (i + 0.5)::DOUBLE * 2 AS dbl FROM range(1, 6) t(i)", "src_html": "SELECT 'p' || i AS n, CAST(i * 3 + 1 AS BIGINT) AS c FROM range(0, 4) t(i)",
     "src_xlsx": "SELECT 'p' || i AS name, TIMESTAMP '1899-12-30' + CAST(45000 + i AS INT) * INTERVAL 1 DAY AS joined, (i + 0.5)::DOUBLE * 2 AS twice FROM range(2, 6) t(i)",
     "src_csv_infer": "SELECT * FROM (VALUES (2::BIGINT, 'a, b', 78.0::DOUBLE, '007'), (3, NULL, 99.5, '010'), (4, 'c', NULL, '100')) v(id, name, score, code)",
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: _single(v[0]) for k, v in SQL.items()}, **{k: _batch(v[0]) for k, v in BATCHES.items()}, **SOURCES}
-ORACLE_SQL: dict[str, str] = {**{k: v[1] for k, v in SQL.items()}, **{k: v[1] for k, v in BATCHES.items() if v[1]}, **SOURCES_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{k: _single(v[0]) for k, v in SQL.items()}, **{k: _batch(v[0]) for k, v in BATCHES.items()}, **{k: _numbers(*v[0]) for k, v in REFUSALS.items()}, "session_reset": _reset, **SOURCES, **served.QUERIES,
+}
+ORACLE_SQL: dict[str, str] = {
+    **{k: v[1] for k, v in SQL.items()}, **{k: v[1] for k, v in BATCHES.items() if v[1]}, **{k: _rows(*v[1]) for k, v in REFUSALS.items()},
+    "session_reset": "SELECT CAST(count(*) AS INT) AS before, 208 AS after, 0 AS open, 0 AS abort FROM nation", **SOURCES_SQL, **served.ORACLE_SQL,
+}

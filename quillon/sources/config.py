@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from ..engine import Engine
 from ..errors import TsqlError
@@ -15,7 +16,7 @@ SHAPE = ("path", "records", "flatten", "expand", "columns")
 KEYS = {
     "csv": ("delimiter",), "json": SHAPE, "xml": SHAPE, "html": (), "excel": ("sheet", "table"), "access": ("table",), "parquet": (),
     "url": (*SHAPE, "format", "delimiter", "auth", "credential_hosts", "next", "paging", "max_pages", "max_rows", "cache_seconds", "timeout"),
-    "discover": ("auth", "credential_hosts", "max_requests", "depth", "prefix", "columns", "flatten", "expand", "format", "max_pages", "max_rows", "next", "paging", "cache_seconds"),
+    "discover": ("auth", "credential_hosts", "max_requests", "depth", "prefix", "columns", "flatten", "expand", "format", "max_pages", "max_rows", "next", "paging", "cache_seconds", "timeout"),
 }
 
 
@@ -60,16 +61,29 @@ def add(engine: Engine, name: str, options: dict) -> None:
     elif kind == "access":
         raise TsqlError(50001, "Access databases are not supported: no reader for them is at hand.")
     elif kind == "url":
-        put(HttpSource(spark, name, options).load())
+        _live(engine, name, HttpSource(spark, name, options))
     else:
-        from .discover import discovered
+        from .discover import TOGETHER, discovered
 
-        for own, source in discovered(spark, name, options):
-            if own.lower() not in engine.tables:  # named ones come before discovered ones
-                try:
-                    for n, df in source.load().items():
-                        child = own + n.removeprefix(source.name) if n.startswith(source.name) else f"{own}_{n}" if n else own
-                        if child.lower() not in engine.tables:
-                            engine.register(child, df)
-                except TsqlError:
-                    continue
+        found = [(own, s) for own, s in discovered(spark, name, options) if own.lower() not in engine.tables]  # named ones come before discovered ones
+
+        def loaded(source: HttpSource) -> TsqlError | None:
+            try:
+                source.load()
+            except TsqlError as e:
+                return e
+
+        with ThreadPoolExecutor(TOGETHER) as pool:
+            for (own, source), error in zip(found, list(pool.map(loaded, [s for _, s in found])), strict=True):
+                if error is None:
+                    _live(engine, own, source)
+                else:
+                    engine.notices.append(f"{own} was found but can't be read: {error.message}")
+
+
+def _live(engine: Engine, name: str, source: HttpSource) -> None:
+    """The tables of a source, each of which is asked for anew when a statement names it; the source keeps its answers."""
+    for n in source.load():
+        own = name + n.removeprefix(source.name) if n.startswith(source.name) else f"{name}_{n}" if n else name
+        if own.lower() not in engine.tables:
+            engine.register_live(own, lambda n=n: source.load().get(n), lambda: source.notices)

@@ -51,12 +51,12 @@ def signed(url: str, headers: dict, auth: dict | None, hosts: list[str]) -> tupl
     raise TsqlError(50001, f"{kind} is not a kind of credentials.")
 
 
-def fetch(url: str, auth: dict | None = None, hosts: list[str] | None = None) -> bytes:
+def fetch(url: str, auth: dict | None = None, hosts: list[str] | None = None, timeout: float = TIMEOUT) -> bytes:
     host = urllib.parse.urlsplit(url).hostname or ""
     own, headers = signed(url, {"Accept-Encoding": "gzip", "User-Agent": "quillon"}, auth, hosts if hosts is not None else [host])
     with _slots.setdefault(host, threading.Semaphore(PER_HOST)):
         try:
-            with urllib.request.urlopen(urllib.request.Request(own, headers=headers), timeout=TIMEOUT) as r:
+            with urllib.request.urlopen(urllib.request.Request(own, headers=headers), timeout=timeout) as r:
                 data = r.read()
                 return gzip.decompress(data) if r.headers.get("Content-Encoding") == "gzip" else data
         except (urllib.error.URLError, TimeoutError, OSError) as e:
@@ -80,13 +80,15 @@ def raced(urls: list[str], get=fetch) -> tuple[str, bytes]:
 
 
 class HttpSource:
-    """Tables of one address, or of several that race. Answers are kept; an old one is served while a new one is fetched."""
+    """Tables of one address, or of several that race. Answers are kept; an old one is served while a new one is fetched.
+    notices: what a client should know of the last answer."""
 
     def __init__(self, spark: SparkSession, name: str, options: dict) -> None:
         self.spark, self.name, self.o = spark, name, options
         self.urls = [options["url"]] if isinstance(options["url"], str) else list(options["url"])
         self.hosts = options.get("credential_hosts") or [urllib.parse.urlsplit(self.urls[0]).hostname]
         self._at, self._tables, self._lock = 0.0, None, threading.Lock()
+        self.notices: list[str] = []
 
     def load(self) -> dict[str, DataFrame]:
         with self._lock:
@@ -98,12 +100,19 @@ class HttpSource:
             return self._tables
 
     def _refresh(self) -> None:
-        self._tables, self._at = self._read(), time.monotonic()
+        before = self._tables
+        try:
+            self._tables, self._at = self._read(), time.monotonic()
+        except TsqlError as e:
+            if before is None:
+                raise
+            self.notices = [f"{self.name}: the answer before is shown: {e.message}"]
 
     def _get(self, url: str) -> bytes:
-        return fetch(url, self.o.get("auth"), self.hosts)
+        return fetch(url, self.o.get("auth"), self.hosts, float(self.o.get("timeout", TIMEOUT)))
 
     def _read(self) -> dict[str, DataFrame]:
+        self.notices = []
         url, data = raced(self.urls, self._get)
         kind = self.o.get("format") or files.sniff(data)
         if kind == "html":
@@ -144,23 +153,40 @@ class HttpSource:
         most, out = self.o.get("max_pages", MOST_PAGES), []
         if link := self.o.get("next"):
             document = first
-            while len(out) + 1 < most:
+            while True:
                 try:
                     following = shapes.at_path(document, link)
                 except TsqlError:
                     break
                 if not following:
                     break
+                if len(out) + 1 >= most:
+                    self._stopped(most)
+                    break
                 document = json.loads(files.decoded(self._get(urllib.parse.urljoin(url, str(following)))))
                 out.append(document)
         elif paging := self.o.get("paging"):
             name, step, at = paging["parameter"], paging.get("step", 1), paging.get("start", 1)
             with ThreadPoolExecutor(PER_HOST) as pool:
-                while len(out) + 1 < most:
+                while True:
+                    if len(out) + 1 >= most:
+                        more = json.loads(files.decoded(self._get(f"{url}{'&' if '?' in url else '?'}{name}={at + step * (len(out) + 1)}")))
+                        if self._is_full(more):
+                            self._stopped(most)
+                        break
                     own = [f"{url}{'&' if '?' in url else '?'}{name}={at + step * (len(out) + 1 + i)}" for i in range(min(PER_HOST, most - 1 - len(out)))]
                     got = [json.loads(files.decoded(b)) for b in pool.map(self._get, own)]
-                    full = [d for d in got if (found := shapes.detected(d)) and found[0][2] == "array"]
+                    full = [d for d in got if self._is_full(d)]
                     out += full
                     if len(full) < len(got):
                         break
         return out
+
+    @staticmethod
+    def _is_full(document: object) -> bool:
+        """Whether a page has rows."""
+        found = shapes.detected(document)
+        return bool(found) and found[0][2] == "array"
+
+    def _stopped(self, most: int) -> None:
+        self.notices.append(f"{self.name}: reading stopped after {most} pages, and there are more; raise max_pages to read further.")

@@ -33,6 +33,14 @@ def write(df: DataFrame) -> str:
     return path
 
 
+def write_lines(spark: SparkSession, lines: list[str]) -> str:
+    """A text file, in a folder of the shared one."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    _written[path] = spark
+    return path
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Deletes what write() made; what still reads it must have been read."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
