@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
     Equal codes are one entry of the index with their k + 1 smallest ids (a result needs no more of them) - a vector
     that a third of the rows repeat is one entry. Each entry is listed under its four 16-bit segments. A query probes
     segment values at radius 0, then 1, 2, ...: after radius r in all segments, every code within 4 (r + 1) - 1 bits has
-    been met. A query ends when its k-th verified distance is covered so. Candidates above the upper bound that is known
-    so far are dropped within the join, and each is reported by the first of its segments that meets it only.
+    been met. Where a segment has fewer values than the radius has masks, those values are looked through instead, of
+    which there are 2 ** BITS at most. A query ends when its k-th verified distance is covered so. Candidates above the
+    upper bound that is known so far are dropped within the join, and each is reported by the first of its segments that
+    meets it only.
 
     Null vectors have no code: as rows they are never neighbours, as queries they have no result. Ties go to the smaller
     id; repeated ids count as one row for each code. Fewer than k other rows: all of them. Other columns are ignored.
@@ -56,11 +60,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
     bound = bound.where(F.col("rank") == k).select("query_id", "asked", F.col("distance").alias("bound"))
     open_ = staged(asked.join(bound, ["query_id", "asked"], "left").withColumn("bound", F.coalesce("bound", F.lit(SEGMENTS * BITS))), "open")
     listed = staged(entries.select("code", "ids", F.posexplode(F.array(*(segment("code", s) for s in range(SEGMENTS)))).alias("seg", "value")), "index")
-    kept, done = None, None
+    values = staged(listed.select(F.col("seg").alias("of"), "value").distinct(), "values")  # SEGMENTS * 2 ** BITS at most
+    most = values.groupBy("of").count().agg(F.max("count")).first()[0] or 0
+    met_at: list[DataFrame] = []
+    done = None
     for radius in range(BITS + 1):
-        masks = [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
         probes = open_.select("query_id", "asked", "bound", F.posexplode(F.array(*(segment("asked", s) for s in range(SEGMENTS)))).alias("seg", "own"))
-        probes = probes.withColumn("mask", F.explode(F.lit(masks).cast("array<int>") if len(masks) > 1 else F.array(F.lit(masks[0])))).select("*", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        if comb(BITS, radius) <= most:
+            masks = [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
+            probes = probes.withColumn("mask", F.explode(F.lit(masks).cast("array<int>") if len(masks) > 1 else F.array(F.lit(masks[0])))).select("*", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        else:  # fewer values than masks: those that lie at this radius
+            probes = probes.join(F.broadcast(values), (F.col("seg") == F.col("of")) & (F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == radius))
         # The pair's other segments: earlier ones must lie beyond this radius, later ones not within the last.
         first = F.lit(True)
         for s in range(SEGMENTS):
@@ -69,9 +79,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
         # Merged, not broadcast: the size of exploded masks is unknown to the planner.
         p, x = probes.hint("merge").alias("p"), listed.alias("x")
         met = p.join(x, (F.col("p.seg") == F.col("x.seg")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("bound")) & first)
-        met = met.select("query_id", "asked", apart.alias("distance"), "ids")
-        kept = met if kept is None else kept.unionByName(met)
-        kept = staged(kept, "met")
+        met_at.append(staged(met.select("query_id", "asked", apart.alias("distance"), "ids"), "met"))
+        kept = reduce(DataFrame.unionByName, met_at).join(open_, ["query_id", "asked"]).where("distance <= bound").select("query_id", "asked", "distance", "ids")
         covered = SEGMENTS * (radius + 1) - 1
         ranked = best(kept)
         kth = ranked.where(F.col("rank") == k).select("query_id", "asked", F.col("distance").alias("kth"))
@@ -82,6 +91,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
         open_ = state.where(F.col("bound") > covered).select("query_id", "asked", "bound")
         if radius == BITS or open_.isEmpty():
             return done.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "distance")
-        kept = kept.join(open_, ["query_id", "asked"], "left_semi").where(F.lit(True))
-        kept = kept.join(open_.select("query_id", "asked", "bound"), ["query_id", "asked"]).where("distance <= bound").select("query_id", "asked", "distance", "ids")
     raise AssertionError("the last radius covers all codes")

@@ -39,3 +39,22 @@ def test_fewer_rows_than_k(spark):
     rows = [(1, [1.0]), (2, [-1.0]), (3, [1.0, 1.0])]
     assert set(run(spark, rows, [1], 10)) == brute(rows, [1], 10)
     assert run(spark, [], [1], 10) == []
+
+
+def test_awkward(spark):
+    """Nulls, empty vectors, repeated rows, ids with unlike codes, far queries and columns whose names clash."""
+    rng = random.Random(9)
+    near = [1.0] * 64
+    flip = lambda v, n: [-x if i in set(rng.sample(range(64), n)) else x for i, x in enumerate(v)]
+    rows = [(i, flip(near, i % 4)) for i in range(30)] + [(7, [-1.0] * 64), (7, [-1.0] * 64), (8, None), (9, []), (31, [-1.0, None] * 32), (32, flip([1.0, -1.0] * 32, 3))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for c in ("query_id", "asked", "bound", "code", "ids", "id", "seg", "value", "of", "own", "at", "rank", "distance"):
+        df = df.selectExpr("*", f"'x' as `{c}`")
+    got = [tuple(r) for r in top_k(df, df.where("vec_id in (0, 7, 9, 31, 32)"), 6).collect()]
+    codes = {(i, sum(1 << n for n, x in enumerate(v) if x is not None and x > 0)) for i, v in rows if v is not None}
+    want = []
+    for q, c in sorted(codes):
+        if q in (0, 7, 9, 31, 32):
+            found = sorted(((c ^ d).bit_count(), i) for i, d in codes if i != q)[:6]
+            want += [(q, n + 1, i, x) for n, (x, i) in enumerate(found)]
+    assert sorted(got) == sorted(want)
