@@ -134,6 +134,7 @@ SQL: dict[str, tuple[str, str]] = {
     "headings": ("SELECT n_nationkey AS [the key], n_name AS \"it's\", n_regionkey 'third' FROM nation", "SELECT n_nationkey AS \"the key\", n_name AS \"it's\", n_regionkey AS third FROM nation"),
     "meta_is_empty": ("SELECT (SELECT COUNT(*) FROM INFORMATION_SCHEMA.VIEWS) + (SELECT COUNT(*) FROM INFORMATION_SCHEMA.ROUTINES) + (SELECT COUNT(*) FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS) + (SELECT COUNT(*) FROM sys.foreign_keys) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
     "meta_schemata": ("SELECT CATALOG_NAME AS c, SCHEMA_NAME AS s FROM INFORMATION_SCHEMA.SCHEMATA WHERE SCHEMA_NAME = 'dbo'", "SELECT 'master' AS c, 'dbo' AS s"),
+    "sys_databases": ("SELECT d.name, d.compatibility_level AS lvl, d.state_desc AS st, d.is_read_only AS ro, d.recovery_model_desc AS rm, d.is_published | d.is_distributor AS pub, m.mirroring_role_desc AS role FROM sys.databases d LEFT JOIN sys.database_mirroring m ON m.database_id = d.database_id", "SELECT 'master' AS name, 160 AS lvl, 'ONLINE' AS st, true AS ro, 'SIMPLE' AS rm, 0 AS pub, CAST(NULL AS VARCHAR) AS role"),
     "meta_dbo": ("SELECT o.name AS t, u.name AS u FROM dbo.sysobjects o CROSS JOIN dbo.sysusers u WHERE o.name LIKE '%ion'", "SELECT unnest(['region', 'nation']) AS t, 'dbo' AS u"),
 }
 
@@ -153,6 +154,8 @@ BATCHES: dict[str, tuple[str, str | None]] = {
     "assign_row_count": ("DECLARE @a int, @n int; SELECT @a = n_nationkey FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey; SET @n = @@ROWCOUNT; SELECT @a AS a, @n AS n", "SELECT max(n_nationkey) AS a, CAST(count(*) AS INT) AS n FROM nation WHERE n_regionkey = 2"),
     "assign_fold": ("DECLARE @n int = 0, @s nvarchar(max) = ''; SELECT @n += 1, @s = @s + CASE WHEN @n % 100 = 0 THEN LEFT(c_name, 1) ELSE '' END FROM customer ORDER BY c_custkey; SELECT @n AS n, LEN(@s) AS l, @@ROWCOUNT AS r", "SELECT CAST(count(*) AS INT) AS n, CAST(count(*) // 100 AS INT) AS l, CAST(count(*) AS INT) AS r FROM customer"),
     "throw_raiserror": ("DECLARE @n int; BEGIN TRY RAISERROR('no %s of %d', 16, 3, 'row', 7) END TRY BEGIN CATCH SET @n = ERROR_STATE(); BEGIN TRY THROW 50007, 'again', 2 END TRY BEGIN CATCH SELECT @n AS s, ERROR_NUMBER() AS n, ERROR_MESSAGE() AS m END CATCH END CATCH", "SELECT 3 AS s, 50007 AS n, 'again' AS m"),
+    "xp_msver": ("CREATE TABLE #v (i int, n nvarchar(60), v int, c nvarchar(max)); INSERT #v EXEC xp_msver; SELECT i, n, v FROM #v WHERE i < 4 OR i = 20", "SELECT * FROM (VALUES (1, 'ProductName', NULL), (2, 'ProductVersion', NULL), (3, 'Language', 1033), (20, 'Product ID', NULL)) v(i, n, v)"),
+    "sp_rowsets": ("CREATE TABLE #s (c nvarchar(128), s nvarchar(128), o nvarchar(128)); INSERT #s EXEC sp_schemata_rowset; CREATE TABLE #c (c nvarchar(128), d nvarchar(128)); INSERT #c EXEC sp_catalogs_rowset; SELECT s.c, s.s, s.o, c.d FROM #s s JOIN #c c ON c.c = s.c", "SELECT 'master' AS c, 'dbo' AS s, 'dbo' AS o, CAST(NULL AS VARCHAR) AS d"),
     "tmp_create_drop": ("CREATE TABLE #a (k int NOT NULL, t nvarchar(20)); INSERT #a SELECT n_nationkey, n_name FROM nation; DROP TABLE #a; CREATE TABLE #a (k bigint, f float); INSERT #a (f, k) SELECT o_totalprice, o_orderkey FROM orders; TRUNCATE TABLE #a; INSERT #a VALUES (1, 2.5), (3, NULL); DROP TABLE IF EXISTS #none; SELECT k, f FROM #a", "SELECT * FROM (VALUES (1::BIGINT, 2.5::DOUBLE), (3, NULL)) v(k, f)"),
     "context_fns": ("SELECT DB_NAME() AS d, SCHEMA_NAME() AS s, SERVERPROPERTY('Collation') AS c, @@MAX_PRECISION AS p, USER_NAME() AS u", "SELECT 'master' AS d, 'dbo' AS s, 'SQL_Latin1_General_CP1_CI_AS' AS c, 38 AS p, 'dbo' AS u"),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import platform
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 
 from ..errors import TsqlError
-from ..functions.context import COLLATION, DATABASE, SERVER, object_id
+from ..functions.context import COLLATION, SERVER, object_id
 from ..functions.kinds import Kind
 
 #: Precision, scale, length in bytes, ODBC type and system type number of the types that columns have.
@@ -60,6 +62,43 @@ EMPTY_SYS = {
 }
 
 
+#: The columns of sys.databases in their order, and what an online, read-only database has in those that are not 0, false or null.
+DATABASE_COLUMNS = (
+    "name database_id:int source_database_id:int owner_sid:binary create_date:timestamp_ntz compatibility_level:int collation_name user_access:int user_access_desc is_read_only:boolean is_auto_close_on:boolean "
+    "is_auto_shrink_on:boolean state:int state_desc is_in_standby:boolean is_cleanly_shutdown:boolean is_supplemental_logging_enabled:boolean snapshot_isolation_state:int snapshot_isolation_state_desc "
+    "is_read_committed_snapshot_on:boolean recovery_model:int recovery_model_desc page_verify_option:int page_verify_option_desc is_auto_create_stats_on:boolean is_auto_create_stats_incremental_on:boolean "
+    "is_auto_update_stats_on:boolean is_auto_update_stats_async_on:boolean is_ansi_null_default_on:boolean is_ansi_nulls_on:boolean is_ansi_padding_on:boolean is_ansi_warnings_on:boolean is_arithabort_on:boolean "
+    "is_concat_null_yields_null_on:boolean is_numeric_roundabort_on:boolean is_quoted_identifier_on:boolean is_recursive_triggers_on:boolean is_cursor_close_on_commit_on:boolean is_local_cursor_default:boolean "
+    "is_fulltext_enabled:boolean is_trustworthy_on:boolean is_db_chaining_on:boolean is_parameterization_forced:boolean is_master_key_encrypted_by_server:boolean is_query_store_on:boolean is_published:boolean "
+    "is_subscribed:boolean is_merge_published:boolean is_distributor:boolean is_sync_with_backup:boolean service_broker_guid is_broker_enabled:boolean log_reuse_wait:int log_reuse_wait_desc "
+    "is_date_correlation_on:boolean is_cdc_enabled:boolean is_encrypted:boolean is_honor_broker_priority_on:boolean replica_id group_database_id resource_pool_id:int default_language_lcid:int default_language_name "
+    "default_fulltext_language_lcid:int default_fulltext_language_name is_nested_triggers_on:boolean is_transform_noise_words_on:boolean two_digit_year_cutoff:int containment:int containment_desc "
+    "target_recovery_time_in_seconds:int delayed_durability:int delayed_durability_desc is_memory_optimized_elevate_to_snapshot_on:boolean is_federation_member:boolean is_remote_data_archive_enabled:boolean "
+    "is_mixed_page_allocation_on:boolean is_temporal_history_retention_enabled:boolean catalog_collation_type:int catalog_collation_type_desc physical_database_name is_result_set_caching_on:boolean "
+    "is_accelerated_database_recovery_on:boolean is_tempdb_spill_to_remote_store:boolean is_stale_page_detection_on:boolean is_memory_optimized_enabled:boolean is_data_retention_enabled:boolean is_ledger_on:boolean "
+    "is_change_feed_enabled:boolean"
+)
+DATABASE_VALUES = {
+    "name": "master", "physical_database_name": "master", "database_id": 1, "owner_sid": b"", "create_date": _MADE, "compatibility_level": 160, "collation_name": COLLATION, "user_access_desc": "MULTI_USER", "is_read_only": True,
+    "state_desc": "ONLINE", "snapshot_isolation_state_desc": "OFF", "recovery_model": 3, "recovery_model_desc": "SIMPLE", "page_verify_option": 2, "page_verify_option_desc": "CHECKSUM", "is_auto_create_stats_on": True,
+    "is_auto_update_stats_on": True, "service_broker_guid": "00000000-0000-0000-0000-000000000000", "log_reuse_wait_desc": "NOTHING", "containment_desc": "NONE", "delayed_durability_desc": "DISABLED", "is_mixed_page_allocation_on": True,
+    "is_temporal_history_retention_enabled": True, "catalog_collation_type_desc": "DATABASE_DEFAULT", "is_memory_optimized_enabled": True,
+    **dict.fromkeys(("source_database_id", "resource_pool_id", "default_language_lcid", "default_fulltext_language_lcid", "is_nested_triggers_on", "is_transform_noise_words_on", "two_digit_year_cutoff")),
+}
+#: The properties of xp_msver in their order, with what the server has; others are blank.
+MSVER = "ProductName ProductVersion Language Platform Comments CompanyName FileDescription FileVersion InternalName LegalCopyright LegalTrademarks OriginalFilename PrivateBuild SpecialBuild WindowsVersion ProcessorCount ProcessorActiveMask ProcessorType PhysicalMemory".split() + ["Product ID"]
+
+
+def _msver() -> list[tuple]:
+    cpus, own = os.cpu_count() or 1, "quillon"
+    said = {
+        "ProductName": (None, "Microsoft SQL Server"), "ProductVersion": (None, SERVER["PRODUCTVERSION"]), "FileVersion": (None, SERVER["PRODUCTVERSION"]), "Language": (1033, "English (United States)"), "Platform": (None, f"NT {platform.machine()}"),
+        "FileDescription": (None, f"{own} on {platform.system()}"), "WindowsVersion": (None, platform.version()), "ProcessorCount": (cpus, str(cpus)), "ProcessorType": (None, platform.machine()), "Product ID": (None, platform.python_version()),
+        **dict.fromkeys(("Comments", "CompanyName", "InternalName", "OriginalFilename"), (None, own)),
+    }
+    return [(i, n, *said.get(n, (None, ""))) for i, n in enumerate(MSVER, 1)]
+
+
 def _df(engine, fields: list[tuple[str, str]], rows: list[tuple] = ()) -> DataFrame:
     return engine.spark.createDataFrame(list(rows), ", ".join(f"`{n}` {k}" for n, k in fields))
 
@@ -92,12 +131,16 @@ def view(engine, schema: str, name: str) -> DataFrame | None:
     fixed = {
         "schemas": ("name schema_id:int principal_id:int", [("dbo", 1, 1), ("INFORMATION_SCHEMA", 3, 3), ("sys", 4, 4)]),
         "types": ("name system_type_id:int user_type_id:int schema_id:int max_length:int precision:int scale:int is_user_defined:boolean", [(n, t[4], t[4], 4, t[2], t[0] or 0, t[1] or 0, False) for n, t in TYPES.items()]),
-        "databases": ("name database_id:int create_date:timestamp_ntz compatibility_level:int collation_name state:int state_desc is_read_only:boolean recovery_model_desc", [("master", 1, _MADE, 160, COLLATION, 0, DATABASE["STATUS"], True, DATABASE["RECOVERY"])]),
+        "databases": (DATABASE_COLUMNS, [tuple(DATABASE_VALUES[n] if n in DATABASE_VALUES else {"boolean": False, "int": 0}.get(k) for n, k in _fields(DATABASE_COLUMNS))]),
         "indexes": ("object_id:int name index_id:int type:int type_desc is_unique:boolean is_primary_key:boolean", [(object_id(t), None, 0, 0, "HEAP", False, False) for t in tables]),
         "data_spaces": ("name data_space_id:int type type_desc is_default:boolean", [("PRIMARY", 1, "FG", "ROWS_FILEGROUP", True)]), "database_files": ("file_id:int type:int type_desc name state:int size:int", [(1, 0, "ROWS", "master", 0, 0)]),
         "server_principals": ("name principal_id:int type type_desc is_disabled:boolean", [("sa", 1, "S", "SQL_LOGIN", False)]), "database_principals": ("name principal_id:int type type_desc default_schema_name", [("dbo", 1, "S", "SQL_USER", "dbo")]),
         "configurations": ("configuration_id:int name value:int minimum:int maximum:int value_in_use:int description", [(1544, "max server memory (MB)", 2147483647, 128, 2147483647, 2147483647, "Maximum size of server memory (MB)")]),
-        "dm_os_host_info": ("host_platform host_distribution host_release", [("Linux", "Linux", "")]), "database_mirroring": ("database_id:int mirroring_guid mirroring_state:int", [(1, None, None)]),
+        "dm_os_host_info": ("host_platform host_distribution host_release host_service_pack_level host_sku:int os_language_version:int host_architecture", [(platform.system(), f"{platform.system()} {platform.release()}", platform.version(), "", None, None, platform.machine())]),
+        "database_mirroring": (
+            "database_id:int mirroring_guid mirroring_state:int mirroring_state_desc mirroring_role:int mirroring_role_desc mirroring_role_sequence:int mirroring_safety_level:int mirroring_safety_level_desc mirroring_safety_sequence:int "
+            "mirroring_partner_name mirroring_partner_instance mirroring_witness_name mirroring_witness_state:int mirroring_witness_state_desc mirroring_failover_lsn:double mirroring_connection_timeout:int mirroring_redo_queue:int "
+            "mirroring_redo_queue_type mirroring_end_of_log_lsn:double mirroring_replication_lsn:double", [(1, *(None,) * 20)]),
         "dm_exec_connections": ("session_id:int net_transport auth_scheme encrypt_option", [(51, "TCP", "SQL", "FALSE")]),
         "sysobjects": ("name id:int xtype uid:int crdate:timestamp_ntz", [(t, object_id(t), "U ", 1, _MADE) for t in tables]), "sysusers": ("uid:int name", [(1, "dbo")]),
     }
@@ -159,8 +202,7 @@ def procedure(engine, session, called: str, args: list[tuple]) -> DataFrame | No
     tables = [t for t, _, _ in engine.tables.values() if _like(table, t)]
     columns = [c for c in _columns(engine) if _like(table, c[0]) and _like(named.get("column_name"), c[1])]
     if called == "xp_msver":
-        rows = [(i, n, None, str(SERVER[k])) for i, (n, k) in enumerate((("ProductName", "EDITION"), ("ProductVersion", "PRODUCTVERSION"), ("Language", "LCID")), 1)]
-        return _df(engine, _fields("Index:int Name Internal_Value:int Character_Value"), rows)
+        return _df(engine, _fields("Index:int Name Internal_Value:int Character_Value"), [r for r in _msver() if table is None or r[1].lower() == str(table).lower()])
     if called == "sp_databases":
         return _df(engine, _fields("DATABASE_NAME DATABASE_SIZE:int REMARKS"), [("master", 0, None)])
     if called == "sp_tables":
