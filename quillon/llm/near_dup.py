@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, labelled, mix, shingles, staged, text_batches
+from .common import components, join_hot, labelled, mix, shingles, staged, text_batches, word_hashes
 
 #: Words of a shingle, and the least similarity of a link: words that an alignment matches, over all of both texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -21,9 +21,12 @@ WORDS, SIMILARITY = 5, 0.8
 #: twelfth word changed (0.85, J of 0.47) with 0.83.
 BANDS, BAND = 36, 2
 SKETCHES = BANDS * BAND
-#: Sketches of SKETCHES that a pair must share to be aligned where a bucket is compared beyond its leader. At a J of 0.5
-#: 18 are expected, with a deviation of 3.7; at one of 0.2, where the texts share no more than a passage, 3.
-AGREE = 8
+#: Leaders that a bucket has, one after the other, before its other members are compared with one another.
+LEADERS = 3
+#: Words that such a comparison takes of a text, by their hashes and occurrences: all, and from twice SAMPLE on those whose
+#: hashes fall under a power of 1/2 that leaves SAMPLE to 2 * SAMPLE. Words in common, in any order, are at least those
+#: that an alignment matches; from a sample their share is known with a deviation of 0.02, so MARGIN is more than four.
+SAMPLE, MARGIN = 256, 0.09
 #: Members of a bucket that one task compares with all others of it.
 MEMBERS_PER_CELL = 2_000
 #: Words that are aligned at a time against a part of the other text, and bits that their masks have in all.
@@ -142,6 +145,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        levels, ends, samples = [], [0], []
+        for t in batch.column(1):
+            h = mix(labelled(word_hashes(t.as_py())) + np.uint64(1)) >> np.uint64(33)
+            levels.append(max(0, (len(h) // SAMPLE).bit_length() - 1))
+            samples.append(np.unique(h[h < np.uint64(2**31 >> levels[-1])]).astype(np.int32))
+            ends.append(ends[-1] + len(samples[-1]))
+        flat = pa.array(np.concatenate(samples) if samples else np.zeros(0, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "level", "sample"])
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
     """(doc_id, class_id, is_kept) of every row of docs: texts linked by a similarity of 0.8 or more, directly or by way
     of others, are one class, named by its smallest doc_id; is_kept marks that document.
@@ -149,11 +164,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     1. Equal texts become one node at once (grouped by digest), so copies cost nothing further.
     2. Nodes meet in the buckets of their bands. A bucket's leader is the node whose buckets are the fullest in all -
        among copies of one text with small edits, the text itself. Every other member is aligned with the leader.
-    3. Members that the leader's class did not take are compared with the members of other classes in their buckets, by
-       their sketches and within the join, which reports only pairs that share AGREE of them. A bucket of many such
-       members is dealt out by cells of MEMBERS_PER_CELL. Nothing is capped, and a bucket that its leader resolved makes
-       no comparisons at all.
-    4. Those are aligned too. Verified links become classes by alternating stars.
+    3. Members that the leader's class did not take get another leader from among them, and so on for LEADERS of them, so
+       that a bucket of a few large classes is resolved by as many alignments a member.
+    4. Members that no leader's class took are compared with the members of other classes in their buckets, by the words
+       that they have in common and within the join, which reports only pairs that have enough of them. A bucket of many
+       such members is dealt out by cells of MEMBERS_PER_CELL. Nothing is capped, and a bucket that its leaders resolved
+       makes no comparisons at all. The pairs are aligned too. Verified links become classes by alternating stars.
 
     Null texts are no one's copies: each row is a class of its own. Texts without words are only linked to equal texts;
     texts of 1 to 4 words are one shingle, so they are only linked to the same words. Ties go to the smaller id, and null
@@ -171,10 +187,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = staged(banded.join(shared, "band"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("members").alias("central"))
-    leaders = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "n", "node")).alias("x")).select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"))
-    buckets = staged(buckets.join(leaders, "band"), "led")
+    buckets = staged(buckets.join(central, "node").select("band", "node", "n", "central"), "central")
     near = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
-    first = staged(buckets.where(near("n", "leader_n") & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     some = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("own"), F.col("doc_id").alias("own_id"))
     texts = rows.join(some, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     texts = staged(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
@@ -183,21 +197,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "tested")
 
-    links = tested(first)
-    of = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lead = of.where("node = leader").select("band", F.col("root").alias("lead_root"))
-    of = of.join(lead, "band").withColumn("is_rest", F.col("root") != F.col("lead_root"))
-    open_ = of.where("is_rest").groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_CELL).cast("int").alias("cells"))
-    of = staged(of.join(open_, "band").join(nodes.select("node", "sketch"), "node").select("band", "node", "n", "root", "is_rest", "sketch", "cells", (F.col("node") == F.col("leader")).alias("is_leader")), "open")
+    rest, links, leaders = buckets.withColumn("root", F.col("node")), None, None
+    for turn in range(LEADERS):
+        led = rest.groupBy("band").agg(F.max(F.struct("central", "n", "node")).alias("x"), F.count("*").alias("members"))
+        led = staged(led.where("members > 1").select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n")), "leaders")
+        if turn and led.isEmpty():
+            break
+        leaders = led if leaders is None else leaders.unionByName(led)
+        pairs = rest.join(led, "band").where(near("n", "leader_n") & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        found = tested(staged(pairs.distinct(), "pairs"))
+        links = found if links is None else links.union(found)
+        of = staged(buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "of")
+        taken = leaders.select("band", F.col("leader").alias("node")).join(of, ["band", "node"]).select("band", "root").distinct()
+        rest = staged(of.join(taken, ["band", "root"], "left_anti").select(*of.columns), "rest")
+    open_ = rest.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_CELL).cast("int").alias("cells"))
+    of = of.join(open_, "band").join(leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")  # leaders have been aligned
+    of = of.join(rest.select("band", "node", F.lit(True).alias("is_rest")), ["band", "node"], "left").withColumn("is_rest", F.coalesce("is_rest", F.lit(False)))
+    of = staged(of.select("band", "node", "n", "root", "is_rest", "cells"), "open")
+    samples = staged(texts.join(of.select("node").distinct(), "node", "left_semi").mapInArrow(_samples, "node long, level int, sample array<int>"), "samples")
+    of = of.join(samples, "node")
     x = of.where("is_rest").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
-    y = of.where("not is_leader").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")  # the leader has been aligned
-    agree = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
-    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.is_rest") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & (agree >= AGREE)
+    y = of.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
+    level = F.greatest("x.level", "y.level")
+    own = lambda k: F.when(F.col(f"{k}.level") == level, F.col(f"{k}.sample")).otherwise(F.filter(f"{k}.sample", lambda h: h < F.call_function("shiftright", F.lit(2**31), level)))
+    both, all_ = F.size(F.array_intersect(own("x"), own("y"))), F.size(own("x")) + F.size(own("y"))
+    similar = both >= F.when(level == 0, SIMILARITY - 0.005).otherwise(SIMILARITY - MARGIN) * (all_ - both)
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.is_rest") | (F.col("x.node") < F.col("y.node"))) & near(F.col("x.n"), F.col("y.n")) & similar
     second = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     classes = components(links.union(tested(staged(second.distinct(), "pairs"))))
-    named = nodes.select("digest", "node", "doc_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = staged(named.join(names, "root").select("digest", "class_id", "root"), "named")  # so that a hot text's rows can be split
+    named = staged(nodes.select("digest", "node", "doc_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    named = staged(join_hot(named, names, "root", named.count()).select("digest", "class_id", "root"), "named")  # so that a hot text's rows can be split
     out = made.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["digest", "root"] * with_node)
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
