@@ -21,8 +21,9 @@ PASSAGE = 64
 RANK, MORE, POWER_STEPS, RESIDUAL, SEED = 24, 8, 1, 48, 7
 #: Least cosine of a candidate; least share of an item's words, and of its answer's if it has one, in common order.
 COSINE, COMMON, ANSWER = 0.5, 0.6, 0.5
-#: Benchmark rows that are searched at once; with it, what is broadcast is bounded. More rows are further blocks.
-BLOCK = 2_000
+#: Benchmark rows, and bytes of their texts, that are searched at once; with them, what is broadcast is bounded. More rows are
+#: further blocks, and a row of more bytes is a block by itself.
+BLOCK, BLOCK_BYTES = 2_000, 4 << 20
 #: Words of an item beyond which it is split, so that a long item is found by its parts. They overlap by half at least, and the last one ends the item.
 PART = 256
 
@@ -269,13 +270,16 @@ def _after(row) -> Column:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> Iterator[Items]:
-    """The benchmark in blocks of BLOCK distinct rows, by id, text and answer; the driver holds one block at a time. A block may end within an id."""
+    """The benchmark in blocks of BLOCK distinct rows, or of BLOCK_BYTES if that is less, by id, text and answer; the driver
+    holds one block at a time. A block may end within an id."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")).distinct()
     last = None
     while True:
-        block = (rows if last is None else rows.where(_after(last))).orderBy("i", "t", "a").limit(BLOCK).collect()
-        if not block:
+        rest = (rows if last is None else rows.where(_after(last))).orderBy("i", "t", "a")
+        sizes = [r.n for r in rest.limit(BLOCK).select((F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0))).alias("n")).collect()]
+        if not sizes:
             return
+        block = rest.limit(max(1, int(np.searchsorted(np.cumsum(sizes), BLOCK_BYTES, side="right")))).collect()
         last = block[-1]
         yield items_of([tuple(r) for r in block])
 
