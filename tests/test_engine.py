@@ -80,6 +80,8 @@ def test_values(e, sql, want):
         ("SELECT [port.name] AS t, no FROM nested", [("x", 1)]), ("SELECT port.name AS t FROM nested", [("x",)]),
         ("SELECT b.port, COUNT(*) AS n FROM boats b JOIN trips t ON t.boat = b.no GROUP BY b.port HAVING n > 1", [("DELFT", 4)]),
         ("SELECT no, LAG(no, berths, -1) OVER (ORDER BY no) AS d FROM boats ORDER BY no", [(11, -1), (12, -1), (13, -1), (14, 12), (15, -1), (16, 16), (17, 12)]),
+        ("SELECT no, LAG(no, berths, -1) OVER (ORDER BY no) + 0 AS d FROM boats ORDER BY no DESC", [(17, 12), (16, 16), (15, -1), (14, 12), (13, -1), (12, -1), (11, -1)]),
+        ("SELECT TOP 4 no, LEAD(hull, no - 10, port) OVER (PARTITION BY port ORDER BY no) AS d, berths FROM boats WHERE no < 17 ORDER BY d, no", [(14, None, 2), (12, "DELFT", 2), (13, "Hoorn", 6), (15, "hoorn ", None)]),
         ("WITH a AS (SELECT no FROM boats), b AS (SELECT no FROM a WHERE no > 15) SELECT * FROM b ORDER BY no", [(16,), (17,)]),
         ("WITH a AS (SELECT no, port FROM boats WHERE no < 15) SELECT x.no FROM a x JOIN a y ON y.port = x.port AND y.no > x.no WHERE EXISTS (SELECT 1 FROM a z WHERE z.no = y.no)", [(11,)]),
         ("SELECT t, CASE WHEN t LIKE p ESCAPE m THEN 1 ELSE 0 END AS y FROM patterns ORDER BY t", [("a%b", 1), ("ax", 0), ("bx", 1), ("c]", 1), ("d-1", 1), ("e.", 1), ("f", 0), ("g[", 1), ("h1h", 0), ("H_H", 1)]),
