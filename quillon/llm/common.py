@@ -86,26 +86,17 @@ def _release_all() -> None:
             release(spark, name)
 
 
-#: Keys that have more than 1 / HOT of all rows are joined by broadcast: fewer than HOT of them, by arithmetic.
-HOT = 1_000
-
-
-def join_hot(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
-    """rows, total of them, joined with by_key: a row for each key, with n, the number of rows that have it.
-
-    A key with a great part of all rows would meet in one task; such keys are few, so their part of by_key is broadcast.
-    """
-    most = max(100, total // HOT)
-    hot = F.broadcast(by_key.where(F.col("n") > most).drop("n"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(by_key.where(F.col("n") <= most).drop("n"), key)
-    return rows.join(hot, key).unionByName(rest)
+def apart_from(grouped: DataFrame, key: str) -> DataFrame:
+    """grouped by key, dealt out in another way, so that a join on the key deals it out once more: only then can the skew
+    join split a key that a great part of the other side has."""
+    return grouped.repartition(F.xxhash64(key))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the undirected edges; root is the smallest node of its component.
 
     Alternating large and small stars: each step is a grouped minimum and a join on the node, so no component is ever
-    gathered in one task; the minima of hubs are broadcast. Ends when a round changes no edge.
+    gathered in one task, and the skew join splits hubs. Ends when a round changes no edge.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
     e, before = staged(e, "edges"), None
@@ -115,10 +106,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("v").alias("node"), F.col("m").alias("root")).union(e.select("m", "m")).distinct()
         before = now
         both = e.union(e.select("m", "v")).toDF("u", "w")
-        low = both.groupBy("u").agg(F.min("w").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n")
-        large = join_hot(both.where("w > u"), low, "u", 2 * now[0]).select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
-        low = large.groupBy("v").agg(F.min("m").alias("low"), F.count("*").alias("n"))
-        small = join_hot(large, low, "v", now[0]).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))).alias("x")).select("x.*")
+        low = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = both.where("w > u").join(apart_from(low, "u"), "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
+        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        small = large.join(apart_from(low, "v"), "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))).alias("x")).select("x.*")
         e = staged(small.where("v <> m").distinct(), "edges")
 
 

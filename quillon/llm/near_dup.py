@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, labelled, mix, shingles, staged, text_batches, word_hashes
+from .common import apart_from, components, labelled, mix, shingles, staged, text_batches, word_hashes
 
 #: Words of a shingle, and the least similarity of a link: words that an alignment matches, over all of both texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -197,19 +197,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "tested")
 
-    rest, links, leaders = buckets.withColumn("root", F.col("node")), None, None
+    rest, links, leaders = buckets, None, None
     for turn in range(LEADERS):
         led = rest.groupBy("band").agg(F.max(F.struct("central", "n", "node")).alias("x"), F.count("*").alias("members"))
         led = staged(led.where("members > 1").select("band", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n")), "leaders")
         if turn and led.isEmpty():
             break
-        leaders = led if leaders is None else leaders.unionByName(led)
-        pairs = rest.join(led, "band").where(near("n", "leader_n") & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        rest = rest.join(led, "band").where("node <> leader")
+        pairs = rest.where(near("n", "leader_n")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
         found = tested(staged(pairs.distinct(), "pairs"))
-        links = found if links is None else links.union(found)
-        of = staged(buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "of")
-        taken = leaders.select("band", F.col("leader").alias("node")).join(of, ["band", "node"]).select("band", "root").distinct()
-        rest = staged(of.join(taken, ["band", "root"], "left_anti").select(*of.columns), "rest")
+        rest = rest.join(found, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select(*buckets.columns)
+        leaders, links = (led, found) if links is None else (leaders.unionByName(led), links.union(found))
+        rest = staged(rest, "rest")
+    of = staged(buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "of")
+    taken = leaders.select("band", F.col("leader").alias("node")).join(of, ["band", "node"]).select("band", "root").distinct()
+    rest = staged(of.join(taken, ["band", "root"], "left_anti").select(*of.columns), "rest")
     open_ = rest.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_CELL).cast("int").alias("cells"))
     of = of.join(open_, "band").join(leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")  # leaders have been aligned
     of = of.join(rest.select("band", "node", F.lit(True).alias("is_rest")), ["band", "node"], "left").withColumn("is_rest", F.coalesce("is_rest", F.lit(False)))
@@ -226,8 +228,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     second = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     classes = components(links.union(tested(staged(second.distinct(), "pairs"))))
     named = staged(nodes.select("digest", "node", "doc_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    named = staged(join_hot(named, names, "root", named.count()).select("digest", "class_id", "root"), "named")  # so that a hot text's rows can be split
+    names = apart_from(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root")
+    named = staged(named.join(names, "root").select("digest", "class_id", "root"), "named")  # so that a hot text's rows can be split
     out = made.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *["digest", "root"] * with_node)
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
