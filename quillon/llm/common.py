@@ -38,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def put(df: DataFrame, path: str) -> None:
+    """df as Parquet in path, without the marker file, which nobody asks for: where Hadoop's native library is missing,
+    each file and its checksum are a child process of the JVM, on the driver for the marker."""
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = own_folder(spark, name)
-    df.write.parquet(path)
+    put(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix, own_folder, staged, text_batches
+from .common import SPACES, mix, own_folder, put, staged, text_batches
 
 #: Code points that a key has at least.
 LEAST_KEY = 10
@@ -176,7 +176,7 @@ class LineStore:
 
     def _write(self, df: DataFrame, name: str) -> str:
         out = f"{self.path}/{name}-{self.batch}"
-        df.write.parquet(out)
+        put(df, out)
         return out
 
     def _read(self, paths: list[str] | str | None, schema: str) -> DataFrame:

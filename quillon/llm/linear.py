@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,26 +59,50 @@ class Sample:
     texts: np.ndarray  # a hash of each text
 
 
-def sample(docs: DataFrame, labels: DataFrame, ys: list, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Sample:
-    """Features of at most `most` labelled rows, made on the executors; ys are columns of labels, 0 or 1.
+_SAMPLE = "y array<int>, h long, text long, words array<long>, form array<double>"
 
-    Where rows or labels repeat an id, each pair of a row and a label is a labelled row, and the bound holds for those:
-    they are ordered by a hash of id and text, and each task hands on `most` of them at most.
-    """
+
+def _sampled(docs: DataFrame, labels: DataFrame, ys: list, id_col: str, text_col: str, most: int) -> DataFrame:
     text_batches(docs.sparkSession)
     few = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.array(*(y.cast("int") for y in ys)).alias("y")).where(~F.exists("y", F.isnull))
     few = few.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "label_id")
     rows = rows.select("text", "y", F.xxhash64("label_id", "text").alias("h"))
-    got = rows.mapInArrow(_featured, "y array<int>, h long, text long, words array<long>, form array<double>").orderBy("h", "y").limit(most).toArrow()
+    return rows.mapInArrow(_featured, _SAMPLE).orderBy("h", "y").limit(most)
+
+
+def _as_sample(got: pa.Table, n: int) -> Sample:
+    """The sample of n labels that a table holds."""
     words = got.column("words").combine_chunks()
     flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
     return Sample(
-        [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.array(got.column("form").to_pylist(), float).reshape(-1, N_FORM), np.array(got.column("y").to_pylist(), int).reshape(-1, len(ys)),
+        [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.array(got.column("form").to_pylist(), float).reshape(-1, N_FORM), np.array(got.column("y").to_pylist(), int).reshape(-1, n),
         np.array(got.column("text").to_pylist(), np.int64),
     )
 
 
+def sample(docs: DataFrame, labels: DataFrame, ys: list, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Sample:
+    """Features of at most `most` labelled rows, made on the executors; ys are columns of labels, 0 or 1.
+
+    Where rows or labels repeat an id, each pair of a row and a label is a labelled row, and the bound holds for those:
+    they are ordered by a hash of id and text, and each task hands on `most` of them at most.
+    """
+    return _as_sample(_sampled(docs, labels, ys, id_col, text_col, most).toArrow(), len(ys))
+
+
+def fit_sample(make: Callable[[Sample], list[Model]], docs: DataFrame, labels: DataFrame, ys: list, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> list[Model]:
+    """The models that make fits on sample(), made in a task: the driver gets neither the rows nor what the fit takes."""
+    n, empty = len(ys), pa.schema([("y", pa.list_(pa.int32())), ("h", pa.int64()), ("text", pa.int64()), ("words", pa.list_(pa.int64())), ("form", pa.list_(pa.float64()))])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        models = make(_as_sample(pa.Table.from_batches(own) if own else empty.empty_table(), n))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(models)], pa.binary())], ["models"])
+
+    got = _sampled(docs, labels, ys, id_col, text_col, most).mapInArrow(made, "models binary").collect()
+    return pickle.loads(got[0].models) if got else make(_as_sample(empty.empty_table(), n))  # a table known to be empty has no task
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import MAX_TRAIN, features_of, fit, sample
+from .linear import MAX_TRAIN, Model, Sample, features_of, fit, fit_sample
 from .common import staged
 
 KEEP_AT = 0.5
@@ -62,6 +62,10 @@ def posteriors(rows: DataFrame) -> DataFrame:
     return out.withColumn("score", 1 / (1 + F.exp(-z)))
 
 
+def _fitted(rows: Sample) -> list[Model]:
+    return [fit(rows.words, rows.form, np.zeros((len(rows.y), 0)), rows.y[:, 0])]
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", most: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, p_doc, p_host, p_path, score, quality 0 or 1) of every row of docs; 1 is kept.
 
@@ -69,8 +73,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     hosts or paths are sites of their own. Null texts count as empty. Without labels each p is 0.5. Repeated rows all
     count. Empty table: no rows. Other columns are ignored.
     """
-    rows = sample(docs, labels, [F.col(label_col)], id_col=id_col, text_col=text_col, most=most)
-    model = fit(rows.words, rows.form, np.zeros((len(rows.y), 0)), rows.y[:, 0])
+    (model,) = fit_sample(_fitted, docs, labels, [F.col(label_col)], id_col=id_col, text_col=text_col, most=most)
 
     @F.arrow_udf("double")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import MAX_TRAIN, Model, features_of, fit, out_of_fold, sample
+from .linear import MAX_TRAIN, Model, Sample, features_of, fit, fit_sample, out_of_fold
 
 #: The chain, in order: each later model also sees the earlier probabilities. The labels give two categories, of which
 #: the first, low quality, is no kind of toxicity but goes with it; other labels make another chain.
@@ -20,19 +20,22 @@ REJECT_AT = 0.3
 TOGETHER = 512
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> list[Model]:
-    """A model for each category. Later models are trained with out-of-fold predictions of the earlier ones, so they
-    learn to trust them as far as they hold on unseen rows. Fitted on at most `most` labelled rows."""
-    rows = sample(docs, labels, [y() for y in chain.values()], id_col=id_col, text_col=text_col, most=most)
+def _fitted(rows: Sample) -> list[Model]:
     earlier, models = np.zeros((len(rows.y), 0)), []
-    for c in range(len(chain)):
+    for c in range(rows.y.shape[1]):
         y = rows.y[:, c]
         models.append(fit(rows.words, rows.form, earlier, y))
-        if c + 1 < len(chain):
+        if c + 1 < rows.y.shape[1]:
             earlier = np.c_[earlier, out_of_fold(rows.words, rows.form, earlier, y, rows.texts)]
     return models
 
 
+def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, *, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> list[Model]:
+    """A model for each category. Later models are trained with out-of-fold predictions of the earlier ones, so they
+    learn to trust them as far as they hold on unseen rows. Fitted on at most `most` labelled rows, in a task."""
+    return fit_sample(_fitted, docs, labels, [y() for y in chain.values()], id_col=id_col, text_col=text_col, most=most)
+
+
 def predict_chain(models: list[Model], texts) -> np.ndarray:
     """A row for each text, a column for each category. Of a text's words only those that a model knows are kept."""
     words, form = features_of(texts, models)

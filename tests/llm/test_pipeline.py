@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from quillon.llm import decontaminate, toxicity
+from quillon.llm import common, decontaminate, toxicity
 
 from .cases import awkward, empty
 from .test_mixing import size, wanted
@@ -68,3 +68,15 @@ def test_awkward(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 100
+
+
+def test_staging_makes_no_marker(spark):
+    """A marker costs the driver child processes for every stage, and nothing reads it."""
+    from pathlib import Path
+
+    with common.owner("here"):
+        assert common.staged(spark.range(5), "five").count() == 5
+        (path,) = common._staged["here"]
+    names = [p.name for p in Path(path.removeprefix("file://")).iterdir()]
+    common.release(spark, "here")
+    assert "_SUCCESS" not in names and any(n.endswith(".parquet") for n in names)
