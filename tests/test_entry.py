@@ -27,3 +27,12 @@ def test_whole_and_without_the_operators(tmp_path):
         if (ROOT / "quillon/llm/queries.py").exists():
             assert ("op1_sharding" in found) == ("quillon/llm" not in gone)
             assert ("pipeline" in found) == (not gone)
+
+
+def test_another_copy_on_the_path(tmp_path, monkeypatch):
+    """What has been removed here isn't taken from elsewhere."""
+    monkeypatch.setenv("PYTHONPATH", str(ROOT))
+    root = tmp_path / "copy"
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", "corpus_pipeline.py"))
+    found = _names(root)
+    assert "flagship" in found and "pipeline" not in found
